@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import table
+from .minhash_dedup import near_duplicates
 from .substring_dedup import dedup_substrings
 
 #: White space of the word patterns, for regular expressions.
@@ -36,8 +37,13 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS
        sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_minhash_dedup": op10_minhash_dedup,
 }
 ORACLES: dict[str, str] = {
     "op8_substring_dedup": OP8_SQL,
