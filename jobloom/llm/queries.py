@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import expand, read_back
 from .cluster import table
 from .decontaminate import contamination
 from .minhash_dedup import near_duplicates
@@ -41,6 +42,38 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = "</s>[INST] ok [/INST]"
+    extra = spark.sql("SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, :t AS text UNION ALL SELECT -1L, 1L, 'assistant', :t", args={"t": marked})
+    back = read_back(expand(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+OP5_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, length('<s>[INST][/INST]</s>') + length(regexp_replace(role, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g'))
+        + length(regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g')) AS chars,
+        row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n
+      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+s AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM f)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(upto) FILTER (WHERE role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup_substrings(docs, window=13)
@@ -69,10 +102,12 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op5_chat_format": op5_chat_format,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
+    "op5_chat_format": OP5_SQL,
     "op8_substring_dedup": OP8_SQL,
 }
