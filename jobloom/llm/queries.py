@@ -10,13 +10,21 @@ from pyspark.sql import functions as F
 from .chat_format import expand, read_back
 from .cluster import table
 from .decontaminate import contamination
+from .embedding_dedup import near_vectors
 from .minhash_dedup import near_duplicates
+from .quality_qda import score_quality
 from .substring_dedup import dedup_substrings
+from .toxicity_fm import score_toxicity
+from .url_rules import judge
 
 #: White space of the word patterns, for regular expressions.
 _WHITE = "[\\x20\\x09-\\x0D]+"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=13)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -74,6 +82,31 @@ FROM s GROUP BY conv_id
 """
 
 
+#: Verdict, host and path of the listed URL rules.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+OP7_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS m FROM e),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.v, b.v) / (a.m * b.m) >= 0.93),
+r AS (SELECT vec_id AS node, vec_id AS near FROM e UNION SELECT r.node, l.b FROM r JOIN l ON r.near = l.a),
+c AS (SELECT node, min(near) AS component_id FROM r GROUP BY node),
+d AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM e JOIN c ON node = vec_id LEFT JOIN d ON a = vec_id
+"""
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup_substrings(docs, window=13)
@@ -96,18 +129,28 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS
        sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
     "op5_chat_format": op5_chat_format,
+    "op6_url_rules": op6_url_rules,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
     "op5_chat_format": OP5_SQL,
+    "op7_embedding_dedup": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
 }
