@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import expand, read_back
 from .cluster import table
+from .ctw import score_texts
 from .decontaminate import contamination
 from .embedding_dedup import near_vectors
 from .minhash_dedup import near_duplicates
@@ -50,6 +51,10 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
+def op3_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = "</s>[INST] ok [/INST]"
     extra = spark.sql("SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, :t AS text UNION ALL SELECT -1L, 1L, 'assistant', :t", args={"t": marked})
@@ -141,6 +146,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
+    "op3_ctw_score": op3_ctw_score,
     "op5_chat_format": op5_chat_format,
     "op6_url_rules": op6_url_rules,
     "op7_embedding_dedup": op7_embedding_dedup,
