@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; the path may be in any store that Spark reads."""
@@ -30,7 +29,7 @@ class Scratch:
     """Written intermediate tables of one operator run.
 
     A kept table cuts lineage: an executor lost later costs a reread of the shared folder, not a
-    recomputation, and the shuffle files of the job that wrote it go at once. ``forget`` deletes
+    recomputation, and the shuffle files of the job that wrote it go. ``forget`` deletes
     tables that nothing reads any more; the rest go when the session's JVM ends.
     """
 
@@ -41,21 +40,23 @@ class Scratch:
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{self._base}/{label}-{uuid.uuid4().hex}"
-        before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
-            df.write.parquet(path)
-        finally:
-            if before is None:
-                self.spark.conf.unset(_CLEANUP)
-            else:
-                self.spark.conf.set(_CLEANUP, before)
+        self.sweep()
+        df.write.parquet(path)
+        self.sweep()
         hadoop = self._hadoop(path)
         hadoop[0].deleteOnExit(hadoop[1])
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths.append((out, path))
         return out
 
+    def sweep(self) -> None:
+        """Lets Spark's cleaner delete the shuffle files of jobs whose plans nothing refers to any more.
+
+        The cleaner acts when the driver's JVM collects garbage, which a quiet driver may not do for long.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def forget(self, *tables: DataFrame) -> None:
         for df in tables:
             for kept, path in list(self._paths):
