@@ -32,7 +32,7 @@ from .cluster import Scratch
 from .features import held_out
 from .words import WHITE, Words, int64, mix64, pieces, text_buffers
 
-DEPTH = 4
+DEPTH = 5
 #: Entries of the tables that every worker holds.
 GRAM_TABLE, TOKEN_TABLE = 1 << 20, 1 << 18
 _END = 0xFF
