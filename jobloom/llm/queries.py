@@ -13,6 +13,7 @@ from .ctw import score_texts
 from .decontaminate import contamination
 from .embedding_dedup import near_vectors
 from .minhash_dedup import near_duplicates
+from .mixing import mix
 from .quality_qda import score_quality
 from .substring_dedup import dedup_substrings
 from .toxicity_fm import score_toxicity
@@ -55,6 +56,58 @@ def op3_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: Targets of the mix: a source's domain is its number modulo 4; sources weigh alike.
+MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "fr": 2, "de": 2, "es": 1}}
+MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 60, 2, 17
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The production mix: 60 % of all tokens, each document read twice at most."""
+    number = F.try_to_number(F.nullif(F.regexp_extract("source", "([0-9]+)$", 1), F.lit("")), F.lit("999999999999999999")).cast("long")
+    domain = F.concat(F.lit("d"), (number % 4).cast("string"))
+    return mix(docs, domain, MIX_WEIGHTS, F.expr(f"supply * {MIX_PERCENT} div 100"), MIX_EPOCHS, MIX_SEED)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixed(docs).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
+def _share_sql(name: str, above: str, known: str, level: str, weight: str) -> str:
+    """CTEs that share the budgets of table ``above`` among the children at ``level``."""
+    by = f"PARTITION BY {known}" if known else ""
+    keys = f"{known}, {level}" if known else level
+    join = f"JOIN {above} USING ({known})" if known else f"CROSS JOIN {above}"
+    return f"""
+{name}1 AS (SELECT {keys}, any_value({weight}) AS weight, CAST(sum(cap) AS HUGEINT) AS cap FROM leaves GROUP BY {keys}),
+{name}2 AS (SELECT *, coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+   sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM {name}1 {join}
+   WINDOW w AS ({by} ORDER BY CAST(cap AS DOUBLE) / weight, {level})),
+{name}3 AS (SELECT *, cap * rest <= (budget - before) * weight AS full_ FROM {name}2),
+{name}4 AS (SELECT *, coalesce(sum(cap) FILTER (full_) OVER ({by}), 0) AS filled, sum(weight) FILTER (NOT full_) OVER ({by}) AS open FROM {name}3),
+{name} AS (SELECT {keys}, CASE WHEN full_ THEN cap ELSE CAST((budget - filled) * weight AS HUGEINT) // CAST(open AS HUGEINT) END AS budget FROM {name}4)"""
+
+
+_TOKENS_SQL = r"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)"
+
+
+def mix_sql(documents: str) -> str:
+    """The production mix of a table, for DuckDB."""
+    return f"""
+docs AS (SELECT doc_id, 'd' || CAST(CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 4 AS VARCHAR) AS domain, lang, source, {_TOKENS_SQL} AS n_tokens FROM {documents}),
+leaves AS (SELECT domain, lang, source, sum(n_tokens) AS supply, sum(n_tokens) * {MIX_EPOCHS} AS cap FROM docs GROUP BY ALL),
+top AS (SELECT least(CAST(sum(supply) AS HUGEINT) * {MIX_PERCENT} // 100, CAST(sum(cap) AS HUGEINT)) AS budget FROM leaves),
+{_share_sql("a", "top", "", "domain", "CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END")},
+{_share_sql("b", "a", "domain", "lang", "CASE lang WHEN 'en' THEN 5 WHEN 'fr' THEN 2 WHEN 'de' THEN 2 ELSE 1 END")},
+{_share_sql("c", "b", "domain, lang", "source", "1")},
+plan AS (SELECT domain, lang, source, CAST(budget AS BIGINT) // CAST(supply AS BIGINT) AS whole, CAST(budget AS BIGINT) % CAST(supply AS BIGINT) AS remains
+         FROM c JOIN leaves USING (domain, lang, source) WHERE supply > 0),
+placed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{MIX_SEED}:' || whole || ':' || doc_id), doc_id) AS upto
+           FROM docs JOIN plan USING (domain, lang, source)),
+picked AS (SELECT doc_id, domain, lang, source, n_tokens, unnest(range(0, whole)) AS epoch FROM placed
+           UNION ALL SELECT doc_id, domain, lang, source, n_tokens, whole FROM placed WHERE upto <= remains)"""
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = "</s>[INST] ok [/INST]"
     extra = spark.sql("SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, :t AS text UNION ALL SELECT -1L, 1L, 'assistant', :t", args={"t": marked})
@@ -143,10 +196,13 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=80)
 
 
+OP4_SQL = f"WITH {mix_sql('documents')} SELECT * FROM picked"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
     "op3_ctw_score": op3_ctw_score,
+    "op4_mixing": op4_mixing,
     "op5_chat_format": op5_chat_format,
     "op6_url_rules": op6_url_rules,
     "op7_embedding_dedup": op7_embedding_dedup,
@@ -156,6 +212,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
+    "op4_mixing": OP4_SQL,
     "op5_chat_format": OP5_SQL,
     "op7_embedding_dedup": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
