@@ -3,7 +3,8 @@
 1. Equal vectors of one label collapse to the one with the smallest id and a multiplicity.
 2. Two rotations are learnt by iterative quantisation on a bounded sample (``SAMPLE`` vectors with the
    smallest hash of their id): principal directions, then turns that bring the signs nearest to the
-   projections. Thresholds are the sample's medians, so each bit is balanced.
+   projections. The first takes the sample's medians as thresholds, so each bit is balanced; the second
+   turns about the origin, where the chance of a differing bit follows from the angle.
 3. Every vector gets 64 bits from each rotation, cut into four tables of 16 bits. Stored keys are the
    substrings; a probe asks for all keys within one bit of its own. Pairs up to 7 bits apart meet
    whatever the bits, and those further apart meet in some of the eight tables with high chance.
@@ -29,11 +30,14 @@ ROTATIONS, TABLES, BITS = 2, 4, 16
 _TURNS = 40
 
 
-def learn(sample: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Projection to 64 directions and their thresholds."""
+def learn(sample: np.ndarray, seed: int, centre: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Projection to 64 directions and their thresholds: medians of centred data, else the origin.
+
+    Bits about the origin depend on angles alone, so they hold for samples of any size and shape.
+    """
     rng = np.random.Generator(np.random.PCG64(seed))
     bits, d = TABLES * BITS, sample.shape[1]
-    centred = sample - sample.mean(axis=0)
+    centred = sample - sample.mean(axis=0) if centre else sample
     _, directions = np.linalg.eigh(centred.T @ centred)
     main = directions[:, ::-1][:, : min(bits, d)]
     if d < bits:  # fewer dimensions than bits: random directions among them
@@ -44,7 +48,7 @@ def learn(sample: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         u, _, v = np.linalg.svd(np.where(projected @ turn > 0, 1.0, -1.0).T @ projected)
         turn = (u @ v).T
     project = main @ turn
-    return project, np.median(sample @ project, axis=0)
+    return project, np.median(sample @ project, axis=0) if centre else np.zeros(bits)
 
 
 def _pack(bits: np.ndarray) -> np.ndarray:
@@ -58,7 +62,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _coded(rows: DataFrame) -> DataFrame:
     """(id, label, vector, c0, c1): unit vectors with their codes."""
     sample = rows.orderBy(F.xxhash64("id"), "id").select("vector").limit(SAMPLE).toArrow().column("vector").combine_chunks()
-    models = [learn(_matrix(sample), seed) for seed in range(ROTATIONS)]
+    models = [learn(_matrix(sample), seed, centre=seed == 0) for seed in range(ROTATIONS)]
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
