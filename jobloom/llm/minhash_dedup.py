@@ -3,12 +3,15 @@
 1. Each text gets its number of distinct shingles, a 128-bit fingerprint of the shingle set, and the
    minima of many universal hashes. Equal sets collapse to the document with the smallest id.
 2. Bands of the signature put the remaining documents in buckets. In each bucket every member is paired
-   with the smallest one; pairs whose set sizes and signatures allow the similarity are confirmed on the
-   full shingle sets; alternating large-star and small-star finds the components.
-3. A bucket may still hold members of several components. There every pair of members of different
-   components, at least one of them outside the bucket's largest component, is tested the same way, and
-   the components are found again. So each pair that shares a bucket is either confirmed, refuted or
-   within one component already, and a bucket with one large group costs no pairs within that group.
+   with two of its members, the smallest and one by chance; pairs whose set sizes and signatures allow the
+   similarity are confirmed on the full shingle sets; alternating large-star and small-star finds the
+   components.
+3. A bucket may still hold members of several components. There members outside the bucket's largest
+   component are compared with all others of another component, inside a join's condition: sizes, then
+   packed signatures, then the shingle sets, and each pair in its first common bucket only. What passes,
+   which is few after the stars, is confirmed on the texts, and the components are found again. So each
+   pair that shares a bucket is confirmed, refuted or within one component already, no pair is emitted for
+   being in one group, and adaptive execution can split a large bucket among tasks.
 
 With 40 bands of 5 minima a pair at similarity 0.8 shares no bucket with probability 1.3e-7.
 """
@@ -66,26 +69,33 @@ def _signatures(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _signed(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle sets with their bounds, which texts have any, and those texts' signatures."""
+    values, first = shingle_sets(words, size)
+    some = np.flatnonzero(np.diff(first))
+    rows = np.empty((len(some), len(_A)), dtype=np.uint32)
+    begin = np.append(first[some], len(values))
+    # blocks that stay in the processor's cache
+    for block in np.array_split(np.arange(len(some)), max(1, len(values) >> 15)):
+        if len(block):
+            lo, hi = begin[block[0]], begin[block[-1] + 1]
+            rows[block] = _signatures(values[lo:hi], np.append(begin[block], hi) - lo)
+    return values, first, some, rows
+
+
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, words in batches_of_words(batch.column("text"), WHITE, lower=True):
-                values, first = shingle_sets(words, size)
+                values, first, some, rows = _signed(words, size)
                 n = np.diff(first)
-                some = np.flatnonzero(n)
                 marks = np.zeros((2, hi - lo), dtype=np.uint64)
                 signatures: list[bytes | None] = [None] * (hi - lo)
                 if len(some):
-                    begin = first[some]
                     for k in (0, 1):
-                        marks[k, some] = np.add.reduceat(mix64(values + np.uint64(k + 1)), begin)
-                    # blocks that stay in the processor's cache
-                    for block in np.array_split(np.arange(len(some)), max(1, len(values) >> 15)):
-                        if len(block):
-                            part = values[begin[block[0]] : first[some[block[-1]] + 1]]
-                            rows = _signatures(part, np.append(begin[block], first[some[block[-1]] + 1]) - begin[block[0]])
-                            for j, row in zip(some[block], rows, strict=True):
-                                signatures[j] = row.tobytes()
+                        marks[k, some] = np.add.reduceat(mix64(values + np.uint64(k + 1)), first[some])
+                    for j, row in zip(some, rows, strict=True):
+                        signatures[j] = row.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(lo, hi - lo), pa.array(n.astype(np.int64)), int64(marks[0]), int64(marks[1]), pa.array(signatures, pa.binary())],
                     ["id", "n", "f1", "f2", "signature"],
@@ -94,21 +104,76 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(emit, "id long, n long, f1 long, f2 long, signature binary")
 
 
+def _band_keys(rows: np.ndarray) -> np.ndarray:
+    """A key for each band of each signature."""
+    rows = rows.reshape(len(rows), BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(rows), BANDS)).copy()
+    for i in range(ROWS):
+        key = mix64(key * np.uint64(0x100000001B3) + rows[:, :, i])
+    return key
+
+
 def _band_rows(sketches: DataFrame) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            rows = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint32).reshape(len(batch), BANDS, ROWS).astype(np.uint64)
-            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(batch), BANDS)).copy()
-            for i in range(ROWS):
-                key = mix64(key * np.uint64(0x100000001B3) + rows[:, :, i])
-            ids, n = (np.repeat(batch.column(c).to_numpy(), BANDS) for c in ("id", "n"))
-            yield pa.RecordBatch.from_arrays([int64(key.ravel()), pa.array(ids), pa.array(n)], ["band", "id", "n"])
+            if len(batch):
+                rows = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint32).reshape(len(batch), -1)
+                ids, n = (np.repeat(batch.column(c).to_numpy(), BANDS) for c in ("id", "n"))
+                yield pa.RecordBatch.from_arrays([int64(_band_keys(rows).ravel()), pa.array(ids), pa.array(n)], ["band", "id", "n"])
 
     return sketches.select("id", "n", "signature").mapInArrow(emit, "band long, id long, n long")
 
 
+_NIBBLES = 16
+_PACKED = -(-BANDS * ROWS // _NIBBLES)
+
+
+def _members(texts: DataFrame, size: int) -> DataFrame:
+    """(id, packed, keys, grams): four bits of each minimum, band keys, and 32 bits of each shingle."""
+
+    def lists(values: np.ndarray) -> pa.Array:
+        flat = values.view(np.int64) if values.dtype == np.uint64 else values
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(flat.ravel()))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, words in batches_of_words(batch.column("text"), WHITE, lower=True):
+                values, first, some, rows = _signed(words, size)
+                nibbles = np.zeros((len(some), _PACKED * _NIBBLES), dtype=np.uint64)
+                nibbles[:, : rows.shape[1]] = rows & 0xF
+                packed = (nibbles.reshape(len(some), _PACKED, _NIBBLES) << (np.arange(_NIBBLES, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
+                short = values.astype(np.uint32).view(np.int32)
+                grams = pa.ListArray.from_arrays(pa.array(np.append(first[some], len(short)).astype(np.int32)), pa.array(short))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo).take(pa.array(some)), lists(packed), lists(_band_keys(rows)), grams], ["id", "packed", "keys", "grams"])
+
+    return texts.mapInArrow(emit, "id long, packed array<long>, keys array<long>, grams array<int>")
+
+
+def _across(placed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that share a bucket and seem to reach the similarity."""
+    largest = placed.groupBy("band", "component").count().groupBy("band").agg(F.max("count").alias("count"))
+    most = placed.groupBy("band", "component").count().join(largest, ["band", "count"]).groupBy("band").agg(F.min("component").alias("main"))
+    rows = placed.join(members, "id")
+    outside = rows.join(most, "band").where("component <> main").select("band", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "component", "packed", "keys", "grams")])
+    unlike = None
+    for i in range(_PACKED):
+        x = F.col("packed")[i].bitwiseXOR(F.col("o_packed")[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+        unlike = x if unlike is None else unlike + x
+    p = percent / 100
+    p = p + (1 - p) / _NIBBLES
+    most_unlike = BANDS * ROWS * (1 - p) + _SLACK * (BANDS * ROWS * p * (1 - p)) ** 0.5
+    first = F.element_at(F.filter(F.zip_with("keys", "o_keys", lambda a, b: F.when(a == b, a)), lambda k: k.isNotNull()), 1)
+    # 32 bits may make different shingles alike: two to spare, and the texts decide
+    common = F.size(F.array_intersect("grams", "o_grams")) + 2
+    alike = 100 * common >= percent * (F.size("grams") + F.size("o_grams") - common)
+    sizes = F.expr(f"100 * least(n, o_n) >= {percent} * greatest(n, o_n)")
+    same = F.col("band") == F.col("o_band")
+    joined = rows.join(outside.withColumnRenamed("band", "o_band"), same & (F.col("component") != F.col("o_component")) & sizes & (unlike <= most_unlike) & (first == F.col("band")) & alike)
+    return joined.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+
+
 def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs whose signatures allow the similarity."""
     p = percent / 100
@@ -124,10 +189,8 @@ def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs that reach the similarity on their full shingle sets."""
-    needed = pairs.select("a").union(pairs.select("b")).distinct()
-    texts = scratch.keep(docs.join(needed, docs["id"] == needed["a"], "left_semi"), "texts")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,9 +211,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scrat
 
     side = {c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in ("a", "b")}
     joined = pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "ta", "tb")
-    found = scratch.keep(joined.mapInArrow(test, "a long, b long"), "edges")
-    scratch.forget(texts)
-    return found
+    return scratch.keep(joined.mapInArrow(test, "a long, b long"), "edges")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,27 +233,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     reps = scratch.keep(named.join(classes, ["f1", "f2"]).where("id = rep").dropDuplicates(["id", "f1", "f2"]).select("id", "n", "signature"), "reps")
 
     bands = _band_rows(reps)
-    centres = bands.groupBy("band").agg(F.count("*").alias("members"), F.min("id").alias("centre")).where("members > 1").select("band", "centre")
-    buckets = scratch.keep(bands.join(centres, "band").select("band", "id", "n", "centre"), "buckets")
+    # xor with the band's key names a member by chance, and names it again
+    centres = bands.groupBy("band").agg(F.count("*").alias("members"), F.min("id").alias("centre"), F.min(F.col("id").bitwiseXOR(F.col("band"))).alias("second"))
+    centres = centres.where("members > 1").select("band", "centre", F.col("second").bitwiseXOR(F.col("band")).alias("second"))
+    buckets = scratch.keep(bands.join(centres, "band"), "buckets")
+    texts = scratch.keep(docs.join(buckets.select("id").distinct(), "id", "left_semi"), "texts")
     sizes = reps.select(F.col("id").alias("centre"), F.col("n").alias("m"))
-    star = buckets.where("id <> centre").select("centre", "id", "n").distinct().join(sizes, "centre")
-    star = star.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-    star = scratch.keep(star, "stars")
-    edges = _confirmed(scratch.keep(_alike(star, reps, percent), "alike"), docs, size, percent, scratch)
+    star = buckets.select(F.explode(F.array("centre", "second")).alias("centre"), "id", "n").where("id <> centre").distinct().join(sizes, "centre")
+    star = star.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    alike = scratch.keep(_alike(star, reps, percent), "alike")
+    edges = _confirmed(alike, texts, size, percent, scratch)
+    scratch.forget(alike)
     found = connected_components(edges, scratch)
 
     placed = buckets.join(found, buckets["id"] == found["node"], "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     placed = scratch.keep(placed.join(mixed, "band"), "mixed")
-    largest = placed.groupBy("band", "component").count().groupBy("band").agg(F.max(F.struct("count", "component")).alias("most")).select("band", F.col("most.component").alias("main"))
-    outside = placed.join(largest, "band").where("component <> main").select("band", F.col("id").alias("x"), F.col("n").alias("m"), F.col("component").alias("other"))
-    across = outside.join(placed, "band").where(f"other <> component and 100 * least(n, m) >= {percent} * greatest(n, m)")
-    across = across.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    across = scratch.keep(across, "across")
-    more = _confirmed(scratch.keep(_alike(across, reps, percent), "alike"), docs, size, percent, scratch)
+    members = scratch.keep(_members(texts.join(placed.select("id").distinct(), "id", "left_semi").select("id", "text"), size), "members")
+    across = scratch.keep(_across(placed, members, percent), "across")
+    scratch.forget(members, placed, buckets)
+    more = _confirmed(across, texts, size, percent, scratch)
+    scratch.forget(texts, across)
     if more.take(1):
         found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch)
-    found = scratch.keep(found, "components")
 
     of = classes.join(found, classes["rep"] == found["node"], "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("id", "n", "f1", "f2").join(of, ["f1", "f2"], "left")
