@@ -13,7 +13,7 @@ from ..functions import text
 from ..functions.html import text_of
 from ..operators import insights, lifecycle, listings, merge, novelty, plugins, resumes
 from ..schema import RESUME
-from ..sources import derived
+from ..sources import captured, derived
 from ..sources.derived import JOBS_SQL, RESUMES_SQL, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ _NOW = "TIMESTAMP '1999-01-01 00:00:00'"
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 _JOBS, _BOTH = f"WITH {JOBS_SQL}", f"WITH {JOBS_SQL}, {RESUMES_SQL}"
+_NUMBER = "CAST(job_id AS BIGINT)"
 _PAGED = "job_id, company, job_title, level, location, description, status, is_active, application_date, resume_score, notes, scraped_at, last_checked, job_state, resume_score_stage, is_interested, customized_resume_id, provider"
 _ALL = f"{_PAGED}, posted_at, insights_analyzed_at"
 
@@ -157,6 +158,66 @@ def check_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.check_tallies(captured_pages(spark, sf_dir))
 
 
+@query(f"""{_JOBS}, {_PAGES_SQL},
+ e AS (SELECT job_id, status, is_active AND NOT {_DUE} AS is_active, CASE WHEN {_DUE} THEN 'expired' ELSE job_state END AS job_state, scraped_at, last_checked FROM jobs),
+ c AS (SELECT job_id, status, is_active AND NOT coalesce(closed, false) AS is_active, CASE WHEN closed THEN 'removed' ELSE job_state END AS job_state, scraped_at, CASE WHEN closed IS NOT NULL THEN {_NOW} ELSE last_checked END AS last_checked FROM e LEFT JOIN pages_ USING (job_id))
+ SELECT * FROM c WHERE NOT coalesce(NOT is_active AND job_state IN ('expired', 'removed') AND scraped_at < {_NOW} - INTERVAL 60 DAY, false)""")
+def maintained_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.maintain(derived.jobs(spark, sf_dir, description=False).select(*_SLIM), captured_pages(spark, sf_dir), SETTINGS)
+
+
+@query(f"{_JOBS} SELECT {_STATE} FROM jobs WHERE {_DUE}")
+def expirable_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.jobs(spark, sf_dir, description=False).select(*_SLIM).where(listings.expirable(SETTINGS))
+
+
+@query(f"{_JOBS} SELECT job_id, CASE WHEN {_NUMBER} % 5 = 1 THEN {_NOW} ELSE last_checked END AS last_checked FROM jobs")
+def touched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived.jobs(spark, sf_dir, description=False).select("job_id", "last_checked")
+    return merge.touch(rows, rows.where(F.col("job_id").cast("long") % 5 == 1), "job_id", "last_checked", SETTINGS.as_of)
+
+
+@query("SELECT DISTINCT CAST(o_orderkey % 1000 AS VARCHAR) AS job_id FROM orders WHERE o_orderkey % 7 <> 0")
+def html_search_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search pages made of orders: a card each, some with a URN that names no posting."""
+    key = F.col("o_orderkey")
+    urn = F.when(key % 7 == 0, "urn:li:x:1").otherwise(F.concat(F.lit("urn:li:jobPosting:"), (key % 1000).cast("string")))
+    html = F.concat(F.lit('<ul><li><div class="base-card wide" data-entity-urn="'), urn, F.lit('"><a>x</a></div></li><li>none</li></ul>'))
+    return captured.search_ids(table(spark, sf_dir, "orders").select(html.alias("html")))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CASE WHEN o_orderkey % 3 = 0 THEN 'Inc & ' || o_orderstatus WHEN o_orderkey % 3 = 1 THEN 'Link' ELSE 'Flavor' END AS company,
+ o_orderpriority AS job_title, CASE WHEN o_orderkey % 4 = 0 THEN 'Mid' END AS level, CASE WHEN o_orderkey % 3 = 2 THEN 'Flavor' END AS location,
+ 'Line ' || o_orderkey || chr(10) || 'two' AS description, 'linkedin' AS provider FROM orders""")
+def html_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detail pages made of orders, with the places of a field present in turn."""
+    key, join = F.col("o_orderkey"), F.concat
+    image = F.when(key % 3 == 0, join(F.lit('<a><img alt=" Inc &amp; '), "o_orderstatus", F.lit(' "></a>'))).otherwise("<a>x</a>")
+    link = F.when(key % 3 == 1, '<a class="topcard__org-name-link big"> Link </a>').otherwise("")
+    flavor = F.when(key % 3 == 2, '<div class="topcard__flavor-row"><span class="topcard__flavor">Flavor</span></div>').otherwise("")
+    title = F.when(key % 2 == 0, join(F.lit('<div class="top-card-layout__entity-info"><a>'), "o_orderpriority", F.lit("</a></div>"))).otherwise(join(F.lit('<h1 class="top-card-layout__title">'), "o_orderpriority", F.lit("</h1>")))
+    level = F.when(key % 4 == 0, '<ul class="description__job-criteria-list"><li><h3 class="description__job-criteria-subheader">Seniority level</h3><span class="description__job-criteria-text">Mid</span></li></ul>').otherwise("")
+    body = join(F.lit('<div class="show-more-less-html__markup">Line '), key.cast("string"), F.lit("<br>\n\n<p> two </p></div>"))
+    html = join(F.lit('<div class="top-card-layout__card">'), image, F.lit("</div>"), link, flavor, title, level, body)
+    return captured.html_postings(table(spark, sf_dir, "orders").select(key.cast("string").alias("job_id"), html.alias("html")))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CASE WHEN o_orderkey % 3 = 0 THEN 'H' WHEN o_orderkey % 3 = 1 THEN 'P' END AS company, o_orderpriority AS job_title, 'Singapore' AS location,
+ CASE WHEN o_orderkey % 4 = 0 THEN 'Not applicable' ELSE 'L' || (o_orderkey % 5) END AS level, 'careers_future' AS provider, CASE WHEN o_orderkey % 6 <> 0 THEN 'Do ' || o_orderstatus END AS description,
+ CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS posted_at FROM orders""")
+def json_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON details made of orders, with companies, levels, texts and times missing in turn."""
+    key = F.col("o_orderkey")
+    named = lambda x: F.struct(x.alias("name"))
+    item = F.struct(
+        key.cast("string").alias("uuid"), F.col("o_orderpriority").alias("title"), F.when(key % 6 == 0, "").otherwise(F.concat(F.lit("<p>Do  "), "o_orderstatus", F.lit("</p>"))).alias("description"),
+        named(F.when(key % 3 == 0, "H").otherwise("")).alias("hiringCompany"), F.when(key % 3 < 2, named(F.lit("P"))).alias("postedCompany"),
+        F.when(key % 4 == 0, F.array().cast("array<struct<position:string>>")).otherwise(F.array(F.struct(F.concat(F.lit("L"), (key % 5).cast("string")).alias("position")))).alias("positionLevels"),
+        F.struct(F.when(key % 5 == 0, "").otherwise(F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("createdAt")).alias("metadata"),
+    )
+    return captured.json_postings(table(spark, sf_dir, "orders").select(F.to_json(item).alias("body")))
+
+
 def _fetched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Postings whose number ends in 7 to 9 as fetched, those that end in 0 to 7 as stored."""
     rows = derived.jobs(spark, sf_dir, description=False).select("job_id", "company", "job_title")
@@ -251,9 +312,6 @@ def _scores(rows: DataFrame) -> DataFrame:
     return rows.where(number % 3 == 0).select("job_id", F.when(number % 4 != 0, number % 101).cast("short").alias("resume_score"))
 
 
-_NUMBER = "CAST(job_id AS BIGINT)"
-
-
 @query(f"{_JOBS} SELECT job_id, CASE WHEN {_NUMBER} % 3 = 0 AND {_NUMBER} % 4 <> 0 THEN CAST({_NUMBER} % 101 AS SMALLINT) ELSE resume_score END AS resume_score, CASE WHEN {_NUMBER} % 3 = 0 AND {_NUMBER} % 4 <> 0 THEN 'custom' ELSE resume_score_stage END AS resume_score_stage FROM jobs")
 def score_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived.jobs(spark, sf_dir, description=False).select("job_id", "resume_score", "resume_score_stage")
