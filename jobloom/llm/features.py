@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import Words, batches_of_words
+
 
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the value written as text, modulo ``modulus``."""
@@ -16,8 +22,19 @@ def held_out(id_col: str, modulus: int, rest: int) -> Column:
     return F.coalesce(remainder(id_col, modulus) == rest, F.lit(True))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, target: str, id_col: str, modulus: int, rest: int) -> DataFrame:
-    """(id, text, label) of the documents whose label may be learnt from, a row for each different label."""
-    chosen = labels.where(F.col(target).isin(0, 1) & ~held_out(id_col, modulus, rest)).select(F.col(id_col).cast("long").alias("id"), F.col(target).cast("int").alias("label")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return texts.join(chosen, "id")
+def labelled_rows(docs: DataFrame, read: Callable[[Words], list[bytes]], separator: np.ndarray, lower: bool, labels: DataFrame, target: str, id_col: str, modulus: int, rest: int) -> DataFrame:
+    """(id, features, label) of the documents whose label may be learnt from, a row for each different label.
+
+    ``read`` turns texts into features before the join, so that no text is shuffled. Labels grow with the
+    corpus and are never broadcast.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, words in batches_of_words(batch.column("text"), separator, lower):
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(read(words), pa.binary())], ["id", "features"])
+
+    learnt = ~held_out(id_col, modulus, rest)
+    chosen = labels.where(F.col(target).isin(0, 1) & learnt).select(F.col(id_col).cast("long").alias("id"), F.col(target).cast("int").alias("label")).distinct()
+    texts = docs.where(learnt).select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(emit, "id long, features binary").join(chosen.hint("merge"), "id")

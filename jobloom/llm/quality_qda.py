@@ -79,6 +79,10 @@ def statistics(words: Words) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+def _statistics_rows(words: Words) -> list[bytes]:
+    return [row.tobytes() for row in statistics(words)]
+
+
 @dataclass(frozen=True)
 class Discriminant:
     """Log prior, mean, Cholesky factor of the covariance and half its log determinant, of either class."""
@@ -125,17 +129,16 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", id_col: s
         count, total, outer = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
         for batch in batches:
             label = batch.column("label").to_numpy()
-            for lo, hi, words in batches_of_words(batch.column("text"), WHITE, lower=False):
-                x = statistics(words)
-                for k in (0, 1):
-                    own = x[label[lo:hi] == k]
-                    count[k] += len(own)
-                    total[k] += own.sum(axis=0)
-                    outer[k] += own.T @ own
+            every = np.frombuffer(b"".join(batch.column("features").to_pylist())).reshape(-1, d)
+            for k in (0, 1):
+                own = every[label == k]
+                count[k] += len(own)
+                total[k] += own.sum(axis=0)
+                outer[k] += own.T @ own
         values = np.concatenate([count, total.ravel(), outer.ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["i", "v"])
 
-    rows = labelled_rows(docs, labels, target, id_col, modulus, rest).select("text", "label").mapInArrow(sums, "i long, v double")
+    rows = labelled_rows(docs, _statistics_rows, WHITE, False, labels, target, id_col, modulus, rest).select("features", "label").mapInArrow(sums, "i long, v double")
     # decimal sums don't depend on their order
     out = rows.groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,9)")).cast("double").alias("v")).orderBy("i").toArrow()
     values = out.column("v").to_numpy()

@@ -43,6 +43,11 @@ def term_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return key % BUCKETS, np.searchsorted(owner, np.arange(words.texts + 1))
 
 
+def _term_rows(words: Words) -> list[bytes]:
+    values, first = term_sets(words)
+    return [row.tobytes() for row in np.split(values.astype(np.int32), first[1:-1])]
+
+
 @dataclass(frozen=True)
 class FactorizationMachine:
     """slot[bucket] is the bucket's row in the weights, or -1."""
@@ -105,17 +110,15 @@ def _chosen_terms(rows: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.nda
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, BUCKETS + 1), dtype=np.int64)
         for batch in batches:
-            label = batch.column("label").to_numpy()
-            for lo, hi, words in batches_of_words(batch.column("text"), NOT_ALNUM, lower=True):
-                values, first = term_sets(words)
-                own = np.repeat(label[lo:hi], np.diff(first))
-                for k in (0, 1):
-                    np.add.at(seen[k], values[own == k], 1)
-                    seen[k, BUCKETS] += (label[lo:hi] == k).sum()
+            label, terms = batch.column("label").to_numpy(), batch.column("features").to_pylist()
+            for k in (0, 1):
+                own = [t for t, x in zip(terms, label, strict=True) if x == k]
+                np.add.at(seen[k], np.frombuffer(b"".join(own), dtype=np.int32), 1)
+                seen[k, BUCKETS] += len(own)
         some = np.flatnonzero(seen.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(seen[k, some]) for k in (0, 1))], ["bucket", "n0", "n1"])
 
-    counts = rows.select("text", "label").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = rows.select("features", "label").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counts = scratch.keep(counts, "terms")
     whole = counts.where(F.col("bucket") == BUCKETS).first()
     sizes = np.array([whole.n0, whole.n1] if whole else [0, 0])
@@ -132,7 +135,7 @@ def _chosen_terms(rows: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.nda
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str = "doc_id", modulus: int = 3, rest: int = 1) -> FactorizationMachine | None:
     """Learns from labelled documents whose crc32 remainder isn't ``rest``; None without both classes."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.keep(labelled_rows(docs, labels, target, id_col, modulus, rest), "labelled")
+    rows = scratch.keep(labelled_rows(docs, _term_rows, NOT_ALNUM, True, labels, target, id_col, modulus, rest), "labelled")
     terms, sizes = _chosen_terms(rows, scratch)
     if not sizes.all():
         return None
@@ -142,15 +145,12 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, words in batches_of_words(batch.column("text"), NOT_ALNUM, lower=True):
-                values, first = term_sets(words)
-                at = shared.value[values]
-                sets = [row[row >= 0].tobytes() for row in np.split(at, first[1:-1])]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), pa.array(sets, pa.binary())], ["id", "label", "terms"])
+            found = [shared.value[np.frombuffer(t, dtype=np.int32)] for t in batch.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "label")), pa.array([x[x >= 0].tobytes() for x in found], pa.binary())], ["id", "label", "terms"])
 
     parts = []
     for k in (0, 1):
-        sample = rows.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id", "text").limit(SAMPLE_PER_CLASS)
+        sample = rows.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id", "features").limit(SAMPLE_PER_CLASS)
         parts.append(sample.mapInArrow(emit, "id long, label int, terms binary").toArrow())
     sample = pa.concat_tables(parts).sort_by([("id", "ascending"), ("label", "ascending"), ("terms", "ascending")])
     label = sample.column("label").to_numpy()
