@@ -36,7 +36,7 @@ def frame(spark, docs):
     return spark.createDataFrame([(i, t, "x", 1) for i, t in docs.items()], "doc_id long, text string, n_words string, id int")
 
 
-@pytest.mark.parametrize(("seed", "size"), [(1, 4), (2, 5), (3, 1)])
+@pytest.mark.parametrize(("seed", "size"), [(1, 4), (2, 5)])
 def test_near_duplicates(spark, seed, size):
     docs = corpus(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, docs), size).collect()}
@@ -73,7 +73,7 @@ def test_covers():
     assert [cover_for(w)[::2] for w in (5, 8, 13, 50)] == [(1, 5), (1, 8), (7, 7), (31, 20)]
 
 
-@pytest.mark.parametrize(("seed", "window"), [(1, 13), (2, 5), (3, 50), (4, 9)])
+@pytest.mark.parametrize(("seed", "window"), [(1, 13), (2, 5), (3, 50)])
 def test_substrings(spark, seed, window):
     docs = corpus(seed)
     out = dedup_substrings(frame(spark, docs), window).collect()
