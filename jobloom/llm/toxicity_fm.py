@@ -27,7 +27,8 @@ BUCKETS = 1 << 20
 TERMS = 4096
 SAMPLE_PER_CLASS = 8_000
 FACTORS = 8
-EPOCHS = 150
+#: Gradient steps of the fit, whatever the sample's size.
+STEPS = 4_000
 #: A missed toxic text costs this many times a false alarm.
 TOXIC_WEIGHT = 4.0
 #: Chi-square below which a bucket tells nothing.
@@ -79,7 +80,7 @@ def fit(terms: np.ndarray, sets: list[np.ndarray], label: np.ndarray, importance
     share = float((importance * label).sum() / importance.sum())
     bias = float(np.log(share / (1 - share)))
     past_w, past_f, past_b = np.full(len(terms), 1e-2), np.full(factor.shape, 1e-2), 1e-2
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS * _BATCH // max(len(sets), 1))):
         order = rng.permutation(len(sets))
         for lo in range(0, len(order), _BATCH):
             own = order[lo : lo + _BATCH]
