@@ -2,10 +2,12 @@
 
 A text is its set of lower-case words, hashed to a fixed number of buckets. Document frequencies of the
 buckets by class, over all labelled documents that may be learnt from, pick the terms that tell the
-classes apart (signed chi-square); the machine then learns a weight for each term and, by inner products
-of term factors, an interaction for each pair of them, such as an insult with a group mention. It is
-fitted by Adagrad on a bounded sample of the labelled rows: ``SAMPLE_PER_CLASS`` of each class, the rows
-with the smallest hash of their id, weighted back to the classes' true shares.
+classes apart alone (chi-square); terms that do so only in pairs are added, by a search for pairs that are
+toxic more often than either term. However many they are, the machine then learns a weight for each term
+and, by inner products of term factors, an interaction for each pair of them, such as an insult with a
+group mention. Pairs are searched for, and the machine is fitted by Adagrad, on a bounded sample of the
+labelled rows: ``SAMPLE_PER_CLASS`` of each class, the rows with the smallest hash of their id, weighted
+back to the classes' true shares.
 """
 
 from __future__ import annotations
@@ -24,15 +26,16 @@ from .features import held_out, labelled_rows
 from .words import NOT_ALNUM, Words, batches_of_words
 
 BUCKETS = 1 << 20
-TERMS = 4096
 SAMPLE_PER_CLASS = 8_000
 FACTORS = 8
 #: Gradient steps of the fit, whatever the sample's size.
 STEPS = 4_000
 #: A missed toxic text costs this many times a false alarm.
 TOXIC_WEIGHT = 4.0
-#: Chi-square below which a bucket tells nothing.
+#: Chi-square below which a bucket tells nothing alone.
 LEAST_CHI2 = 15.0
+#: Chance of taking any pair of terms that tells no more than its terms.
+PAIR_CHANCE = 0.05
 _RATE, _L2_WEIGHT, _L2_FACTOR, _BATCH = 0.3, 2e-5, 2e-4, 128
 
 
@@ -129,33 +132,60 @@ def _chosen_terms(rows: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.nda
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
     top = F.pow(a * (n0 - b) - b * (n1 - a), 2) * (n0 + n1)
     best = counts.where(F.col("bucket") < BUCKETS).withColumn("chi2", top / (n0 * n1 * (a + b) * (n0 + n1 + 1e-9 - a - b)))
-    best = best.where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "bucket").limit(TERMS)
+    best = best.where(F.col("chi2") >= LEAST_CHI2)
     return np.sort(best.select("bucket").toArrow().column("bucket").to_numpy()), sizes
 
 
+def paired_terms(sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
+    """Buckets, from sets of them, that are toxic more often in some pair than either bucket is.
+
+    A pair in m texts, a share p of them toxic, counts if ``m * KL(p, q)`` reaches the logarithm of the
+    number of pairs over ``PAIR_CHANCE``, where q is the greatest toxic share of its buckets and of all
+    texts: Chernoff's bound for so many toxic texts, over all pairs at once.
+    """
+    terms, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    n1 = np.bincount(at[label[owner] == 1], minlength=len(terms))
+    share = np.maximum(n1 / np.maximum(np.bincount(at), 1), label.mean())
+    wanted = np.log(max(len(terms), 2) ** 2 / 2 / PAIR_CHANCE)
+    # no pair passes that could not if all of a bucket's toxic texts, and no others, held it
+    able = -n1 * np.log(share) >= wanted
+    if not able.any():
+        return terms[able]
+    number, terms, sure = np.cumsum(able) - 1, terms[able], -np.log(share[able])
+    at, owner = number[at[able[at]]], owner[able[at]]
+    rows = np.split(at, np.searchsorted(owner, np.arange(1, len(sets))))
+    order = np.argsort(at, kind="stable")
+    found = np.zeros(len(terms), dtype=bool)
+    for i, texts in enumerate(np.split(owner[order], np.searchsorted(at[order], np.arange(1, len(terms))))):
+        n1 = np.bincount(np.concatenate([rows[t] for t in texts if label[t]]), minlength=len(terms))
+        q = np.minimum(sure, sure[i])
+        other = np.flatnonzero(n1 * q >= wanted)
+        other = other[other > i]
+        if len(other):
+            n0 = np.bincount(np.concatenate([rows[t][:0] if label[t] else rows[t] for t in texts]), minlength=len(terms))[other]
+            n1, q = n1[other], np.exp(-q[other])
+            p = n1 / (n0 + n1)
+            apart = n1 * np.log(p / q) + n0 * np.log(np.maximum(1 - p, 1e-300) / (1 - q))
+            other = other[(p > q) & (apart >= wanted)]
+            found[other] = True
+            found[i] |= len(other) > 0
+    return terms[found]
+
+
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str = "doc_id", modulus: int = 3, rest: int = 1) -> FactorizationMachine | None:
     """Learns from labelled documents whose crc32 remainder isn't ``rest``; None without both classes."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(labelled_rows(docs, _term_rows, NOT_ALNUM, True, labels, target, id_col, modulus, rest), "labelled")
-    terms, sizes = _chosen_terms(rows, scratch)
+    alone, sizes = _chosen_terms(rows, scratch)
     if not sizes.all():
         return None
-    slot = np.full(BUCKETS, -1, dtype=np.int32)
-    slot[terms] = np.arange(len(terms))
-    shared = docs.sparkSession.sparkContext.broadcast(slot)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shared.value[np.frombuffer(t, dtype=np.int32)] for t in batch.column("features").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "label")), pa.array([x[x >= 0].tobytes() for x in found], pa.binary())], ["id", "label", "terms"])
-
-    parts = []
-    for k in (0, 1):
-        sample = rows.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id", "features").limit(SAMPLE_PER_CLASS)
-        parts.append(sample.mapInArrow(emit, "id long, label int, terms binary").toArrow())
-    sample = pa.concat_tables(parts).sort_by([("id", "ascending"), ("label", "ascending"), ("terms", "ascending")])
+    parts = [rows.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id", "features").limit(SAMPLE_PER_CLASS).select("id", "label", "features").toArrow() for k in (0, 1)]
+    sample = pa.concat_tables(parts).sort_by([("id", "ascending"), ("label", "ascending"), ("features", "ascending")])
     label = sample.column("label").to_numpy()
-    sets = [np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in sample.column("terms").to_pylist()]
+    texts = [np.frombuffer(x, dtype=np.int32) for x in sample.column("features").to_pylist()]
+    terms = np.union1d(alone, paired_terms(texts, label)).astype(np.int64)
+    sets = [np.searchsorted(terms, x[np.isin(x, terms, assume_unique=True)]) for x in texts]
     taken = np.array([(label == k).sum() for k in (0, 1)])
     importance = (sizes / sizes.sum() * taken.sum() / taken * (1.0, TOXIC_WEIGHT))[label]
     scratch.forget(rows)

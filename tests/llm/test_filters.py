@@ -176,5 +176,16 @@ def test_factorization_machine_learns_a_pair():
     assert (model.factor[0] * model.factor[1]).sum() > 0.5 * abs(linear).max()
 
 
+def test_toxicity_of_pairs_only(spark):
+    """Two words are each in half of the toxic texts and in half of the others; only both together are toxic."""
+    rng = random.Random(5)
+    kinds = [["these", "people"], ["vile"], ["these"], ["people"]]
+    texts = [(i, " ".join([*kinds[i % 4], *(f"w{rng.randrange(60)}" for _ in range(6))])) for i in range(1200)]
+    labels = spark.createDataFrame([(i, int(i % 4 < 2)) for i, _ in texts], "doc_id long, toxic int")
+    out = score_toxicity(spark.createDataFrame(texts, "doc_id long, text string"), labels).where("held_out").collect()
+    right = [(r.predicted == 1) == (r.doc_id % 4 < 2) for r in out]
+    assert len(out) > 300 and sum(right) / len(right) >= 0.97, sum(right) / len(right)
+
+
 def test_sha_helper():
     assert sha("").startswith("e3b0")
