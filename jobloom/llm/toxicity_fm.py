@@ -28,8 +28,8 @@ from .words import NOT_ALNUM, Words, batches_of_words
 BUCKETS = 1 << 20
 SAMPLE_PER_CLASS = 8_000
 FACTORS = 8
-#: Gradient steps of the fit, whatever the sample's size.
-STEPS = 4_000
+#: The fit passes over its sample so often, whatever the sample's size, and takes so many gradient steps at least.
+EPOCHS, LEAST_STEPS = 150, 4_000
 #: A missed toxic text costs this many times a false alarm.
 TOXIC_WEIGHT = 4.0
 #: Chi-square below which a bucket tells nothing alone.
@@ -76,6 +76,11 @@ def _output(weight: np.ndarray, factor: np.ndarray, at: np.ndarray, owner: np.nd
     return linear + 0.5 * ((sums * sums).sum(axis=1) - squares), sums
 
 
+def epochs(size: int) -> int:
+    """Passes over a sample of ``size`` texts; a larger sample never gets fewer than ``EPOCHS``."""
+    return max(EPOCHS, -(-LEAST_STEPS * _BATCH // max(size, 1)))
+
+
 def fit(terms: np.ndarray, sets: list[np.ndarray], label: np.ndarray, importance: np.ndarray, seed: int = 11) -> FactorizationMachine:
     """``sets`` hold numbers into ``terms``; ``importance`` weighs each text."""
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -83,7 +88,7 @@ def fit(terms: np.ndarray, sets: list[np.ndarray], label: np.ndarray, importance
     share = float((importance * label).sum() / importance.sum())
     bias = float(np.log(share / (1 - share)))
     past_w, past_f, past_b = np.full(len(terms), 1e-2), np.full(factor.shape, 1e-2), 1e-2
-    for _ in range(-(-STEPS * _BATCH // max(len(sets), 1))):
+    for _ in range(epochs(len(sets))):
         order = rng.permutation(len(sets))
         for lo in range(0, len(order), _BATCH):
             own = order[lo : lo + _BATCH]

@@ -9,12 +9,12 @@ import pytest
 from brute import ascii_lower, contamination, fill, sha
 from pyspark.sql import functions as F
 
-from jobloom.llm import decontaminate, queries, url_rules
+from jobloom.llm import decontaminate, queries, toxicity_fm, url_rules
 from jobloom.llm.chat_format import escape, expand, read_back, unescape
 from jobloom.llm.decontaminate import contamination as operator
 from jobloom.llm.mixing import budgets, mix
 from jobloom.llm.quality_qda import score_quality
-from jobloom.llm.toxicity_fm import fit, score_toxicity
+from jobloom.llm.toxicity_fm import SAMPLE_PER_CLASS, epochs, fit, score_toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -176,6 +176,17 @@ def test_factorization_machine_learns_a_pair():
     assert (model.factor[0] * model.factor[1]).sum() > 0.5 * abs(linear).max()
 
 
+def test_training_passes_do_not_fall_with_size(monkeypatch):
+    """The full sample is passed over 150 times; a fit of it visits each text so often."""
+    assert [epochs(n) >= 150 for n in (1, 300, 3_413, 9_000, 2 * SAMPLE_PER_CLASS)] == [True] * 5
+    visits = []
+    count = toxicity_fm._output
+    monkeypatch.setattr(toxicity_fm, "_output", lambda w, f, at, owner, n: visits.append(n) or count(w, f, at, owner, n))
+    sets, label = [np.array([i % 2]) for i in range(4_000)], np.arange(4_000) % 2
+    fit(np.arange(2), sets, label, np.ones(4_000))
+    assert sum(visits) == 150 * 4_000
+
+
 def test_toxicity_of_pairs_only(spark):
     """Two words are each in half of the toxic texts and in half of the others; only both together are toxic."""
     rng = random.Random(5)
