@@ -1,10 +1,11 @@
 """URL filter: listed rules first, then association rules mined by FP-growth.
 
-A URL's tokens come from fixed places (top-level and second-level domain, words of the subdomain, first
-two path segments, extension, query key), so a URL has at most ``MOST_TOKENS`` of them, and at support
-``s`` there are at most ``2^MOST_TOKENS / s`` frequent combinations whatever the input. FP-growth mines
-the combinations that go with blocked labels; rules below the confidence, and rules that a shorter rule
-of no less confidence makes needless, are dropped. Rules are looked up by an inverted index: each is
+A URL's tokens are its top-level and second-level domain, all words of the subdomain, all path segments
+with their places, the extension and all query keys. FP-growth mines the combinations that go with blocked
+labels. Tokens that the same labelled URLs hold, as of a long path, are one item to it, so that they don't
+make two to their number of combinations; two of them never meet in a rule that a shorter one doesn't make
+needless, and each takes the item's place in turn. Rules below the confidence, and rules that a shorter rule of no less
+confidence makes needless, are dropped. Rules are looked up by an inverted index: each is
 filed under its rarest token, distinct token sets are joined to it by token, and the rest is checked.
 """
 
@@ -19,7 +20,6 @@ from .cluster import Scratch
 SUPPORT, CONFIDENCE = 0.005, 0.9
 #: A combination seen in fewer labelled URLs is chance, however few there are in all.
 LEAST_ROWS = 20
-MOST_TOKENS = 10
 _BLOCK = "=block"
 
 
@@ -45,19 +45,22 @@ def tokens_of(url: Column) -> Column:
     segments = F.split(F.regexp_replace(path, r"^/+|/+$", ""), "/+")
     number = r"^[0-9]+$"
 
-    def segment(i: int) -> Column:
-        s = F.regexp_replace(F.coalesce(F.try_element_at(segments, F.lit(i)), F.lit("")), r"\.[A-Za-z0-9]{1,5}$", "")
+    def segment(raw: Column, i: Column) -> Column:
+        s = F.regexp_replace(raw, r"\.[A-Za-z0-9]{1,5}$", "")
         s = F.when(s.rlike(number), F.concat(F.substring(s, 1, 1), F.lit("#"))).otherwise(ascii_lower(s))
-        return F.when(s != "", F.concat(F.lit(f"/{i}:"), s))
-
-    found = F.array(
-        F.when(host != "", F.concat(F.lit("tld:"), F.element_at(labels, -1))),
-        F.when(size >= 2, F.concat(F.lit("domain:"), F.try_element_at(labels, size - 1))),
-        *[F.when(F.try_element_at(words, F.lit(i)) != "", F.concat(F.lit("sub:"), F.try_element_at(words, F.lit(i)))) for i in (1, 2, 3)],
-        segment(1),
-        segment(2),
-        F.concat(F.lit("ext:"), F.nullif(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1), F.lit(""))),
-        F.concat(F.lit("?"), F.nullif(F.regexp_extract(url, r"\?([^=&#]+)", 1), F.lit(""))),
+        return F.when(s != "", F.concat(F.lit("/"), (i + 1).cast("string"), F.lit(":"), s))
+
+    query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
+    keys = F.transform(F.split(query, "&"), lambda k: F.regexp_extract(k, r"^([^=]+)", 1))
+    found = F.concat(
+        F.array(
+            F.when(host != "", F.concat(F.lit("tld:"), F.element_at(labels, -1))),
+            F.when(size >= 2, F.concat(F.lit("domain:"), F.try_element_at(labels, size - 1))),
+            F.concat(F.lit("ext:"), F.nullif(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1), F.lit(""))),
+        ),
+        F.transform(words, lambda w: F.when(w != "", F.concat(F.lit("sub:"), w))),
+        F.transform(segments, segment),
+        F.transform(keys, lambda k: F.when(k != "", F.concat(F.lit("?"), k))),
     )
     return F.array_sort(F.array_distinct(F.array_compact(found)))
 
@@ -81,7 +84,13 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     if blocked < LEAST_ROWS:
         return None
     support = max(support, LEAST_ROWS / rows)
-    items = labelled.select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(_BLOCK))).otherwise(F.col("tokens")).alias("items"))
+    mark = F.xxhash64("tokens").cast("decimal(20,0)").alias("mark")
+    often = labelled.select(F.explode("tokens").alias("token"), mark).groupBy("token").agg(F.count("*").alias("freq"), F.sum("mark").alias("mark")).where(F.col("freq") >= support * rows)
+    often = labelled.sparkSession.createDataFrame(often.toArrow())  # the support bounds their number
+    alike = often.groupBy("freq", "mark").agg(F.min("token").alias("item"), F.collect_list("token").alias("members"))
+    chosen = [r["item"] for r in alike.select("item").collect()]
+    tokens = F.filter("tokens", lambda t: t.isin(chosen))
+    items = labelled.select(F.when(F.col("blocked"), F.array_append(tokens, F.lit(_BLOCK))).otherwise(tokens).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(_BLOCK))).select("antecedent", "confidence", "support")
     shorter = rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("sure"))
@@ -89,7 +98,10 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     # an inverted index again: a part is found by its first token
     told = rules.withColumn("t", F.explode("antecedent")).join(shorter.withColumn("t", F.element_at("part", 1)), "t").where(needless).select("antecedent").distinct()
     rules = rules.join(told, "antecedent", "left_anti")
-    often = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
+    places = rules.withColumn("item", F.explode("antecedent")).join(alike, "item").groupBy("antecedent", "confidence", "support").agg(F.collect_list("members").alias("places"))
+    one = F.array(F.array().cast("array<string>"))
+    each = F.aggregate("places", one, lambda done, members: F.flatten(F.transform(done, lambda d: F.transform(members, lambda m: F.array_append(d, m)))))
+    rules = places.select(F.explode(each).alias("antecedent"), "confidence", "support")
     rarest = rules.withColumn("token", F.explode("antecedent")).join(often, "token").groupBy("antecedent", "confidence", "support").agg(F.min(F.struct("freq", "token")).alias("least"))
     return rarest.select("antecedent", "confidence", "support", F.col("least.token").alias("key"))
 

@@ -101,6 +101,20 @@ def test_mined_rules(spark):
     assert url_rules.judge(frame.limit(0), listed).collect() == []
 
 
+@pytest.mark.parametrize("bad, good", [("a/b/casino/x", "a/b/news/x"), ("a/b?page=2&ref=1", "a/b?page=2&lang=1"), ("a/b" + "/d" * 40 + "/z", "a/b" + "/d" * 40 + "/y")])
+def test_rules_on_all_parts_of_a_url(spark, bad, good):
+    """A third segment, a second query key, a segment far down a path that many URLs share."""
+    rows = [(i, f"http://{('bad.com', 'good.com', 'new.com')[i % 3]}/{bad if i % 3 == 0 or i % 6 == 2 else good}") for i in range(300)]
+    out = url_rules.judge(spark.createDataFrame(rows, "page_id long, url string"), [("block", "bad.com", "/"), ("allow", "good.com", "/")]).where("host = 'new.com'").collect()
+    assert len(out) == 100 and all((r.verdict == "block") == (r.page_id % 6 == 2) for r in out)
+
+
+def test_rules_on_words_of_a_long_subdomain(spark):
+    rows = [(i, f"http://a.b.c.{('bad', 'ok')[i % 2]}.site.com/{'xyz'[i % 3]}") for i in range(300)]
+    out = url_rules.judge(spark.createDataFrame(rows, "page_id long, url string"), [("block", "bad.site.com", "/x"), ("allow", "ok.site.com", "/")]).where("path <> '/x'").collect()
+    assert {r.verdict for r in out if r.host == "a.b.c.bad.site.com"} == {"block"} and {r.verdict for r in out if r.host == "a.b.c.ok.site.com"} == {"allow"}
+
+
 def test_budgets(spark):
     rng = random.Random(6)
     for _ in range(3):
