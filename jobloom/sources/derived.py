@@ -51,7 +51,7 @@ def jobs(spark: SparkSession, sf_dir: str, description: bool = True) -> DataFram
 def customized_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
     link = F.when(key % 10 != 0, F.concat(F.lit("resume_"), key.cast("string"), F.lit(".pdf")))
-    return table(spark, sf_dir, "documents").where(key < 200).select(key.cast("string").alias("id"), link.alias("resume_link"))
+    return table(spark, sf_dir, "documents").select(key.cast("string").alias("id"), link.alias("resume_link"))
 
 
 #: The same relations for DuckDB.

@@ -11,7 +11,7 @@ from jobloom.functions import html
 from jobloom.operators import plugins, resumes
 from jobloom.operators.merge import VersionedTable
 from jobloom.schema import JOBS, RESUME
-from jobloom.sources import captured
+from jobloom.sources import captured, derived
 from jobloom.streaming.ingest import ingest, windowed_counts
 
 DETAIL = """<div class="top-card-layout__card x"><a href=#><img alt=" Acme Inc "></a></div><div class="top-card-layout__entity-info"><a> Data <b>Engineer</b> </a></div>
@@ -117,3 +117,11 @@ def test_stream(spark, tmp_path):
     assert 1 <= len(kept) == len(set(kept)) and set(kept) <= {"1", "2"}
     events = spark.createDataFrame([(datetime(2024, 1, 1, 1), "a"), (datetime(2024, 1, 1, 23), "a"), (datetime(2024, 1, 2), "b")], "ts timestamp, k string")
     assert sorted((r.k, r.n) for r in windowed_counts(events, "ts", ["k"]).collect()) == [("a", 2), ("b", 1)]
+
+
+def test_resumes_are_all_documents(spark):
+    """No id is left out of the relation that postings refer to."""
+    sf = "/root/testdata/sf0.01"
+    rows = derived.customized_resumes(spark, sf)
+    documents = derived.table(spark, sf, "documents")
+    assert rows.count() == documents.count() > 200 and rows.where("cast(id as long) >= 200 and resume_link is not null").count() > 0
