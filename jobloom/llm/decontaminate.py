@@ -34,17 +34,22 @@ def _pattern(words: list[bytes]) -> str:
     return (b" " + b" ".join(words) + b" ").decode("latin-1")
 
 
-def item_windows(items: list[tuple[str, str | None]], window: int) -> dict[str, tuple[str, ...]]:
+def _in_order(items: set[str | None]) -> list[str | None]:
+    """Sorted, a null id last."""
+    return sorted(items, key=lambda i: (i is None, i or ""))
+
+
+def item_windows(items: list[tuple[str | None, str | None]], window: int) -> dict[str, tuple[str | None, ...]]:
     """Pattern -> the items with that window, in order. Shorter items, but not empty ones, are one window."""
-    found: dict[str, set[str]] = {}
+    found: dict[str, set[str | None]] = {}
     for item, text in items:
         words = normalised_words(text)
         for i in range(max(1, len(words) - window + 1) if words else 0):
             found.setdefault(_pattern(words[i : i + window]), set()).add(item)
-    return {p: tuple(sorted(found[p])) for p in sorted(found)}
+    return {p: tuple(_in_order(found[p])) for p in sorted(found)}
 
 
-def _automaton(patterns: dict[str, tuple[str, ...]]) -> ahocorasick.Automaton:
+def _automaton(patterns: dict[str, tuple[str | None, ...]]) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
     for p in patterns:
         automaton.add_word(p, p)
@@ -77,15 +82,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_
 
     A window is ``window`` consecutive words of an item, or all words of an item with fewer, but not
     none. A document word inside any occurrence of a window is hit; ``items`` are the ids, as sorted
-    strings, of the items with occurring windows; ``offsets`` are the hit stretches as byte offsets
+    strings, of the items with occurring windows, with one null at the end for all items with a null id;
+    ``offsets`` are the hit stretches as byte offsets
     (start, end) of the UTF-8 text. A document is contaminated if a word is hit and
-    ``20 * n_hit >= n_words``. A null text has no words; items with a null id or text and an empty
+    ``20 * n_hit >= n_words``. A null text has no words; items with a null text and an empty
     benchmark hit nothing; repeated items count once. Columns of ``docs`` named like the new ones are
     replaced. The windows of all items are held by the driver and each worker: a benchmark is small,
     and beyond ``PATTERNS_PER_PASS`` windows the texts are scanned again for each further part.
     """
     spark = docs.sparkSession
-    rows = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).distinct().toLocalIterator()
+    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).distinct().toLocalIterator()
     patterns = list(item_windows([(r.i, r.t) for r in rows], window).items())
     new = ("n_words", "n_hit", "items", "offsets", "contaminated")
     others = [c for c in docs.columns if c not in new]
@@ -118,7 +124,7 @@ def _pass(shared: Broadcast):
                 n_words.append(int(b - a))
                 n_hit.append(sum(y - x for x, y in merged))
                 spans.append([{"first": x, "last": y} for x, y in merged])
-                items.append(sorted({*known, *(i for h in hits for i in patterns[h[2]])}) if hits else known)
+                items.append(_in_order({*known, *(i for h in hits for i in patterns[h[2]])}) if hits else known)
                 begin = words.offsets[text]
                 offsets.append([{"start": int(words.start[a + x] - begin), "end": int(words.end[a + y - 1] - begin)} for x, y in merged])
             yield pa.RecordBatch.from_arrays(

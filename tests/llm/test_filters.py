@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from brute import ascii_lower, contamination, fill, sha
@@ -48,6 +49,20 @@ def test_contamination(spark, monkeypatch, seed, window, most):
     assert operator(frame.limit(0), spark.createDataFrame(items, "item_id long, text string"), window).collect() == []
 
 
+def test_contamination_by_an_item_without_id(spark, tmp_path):
+    """As the query's SQL has it: the words are hit, the item counts and the list of ids lacks it."""
+    docs = spark.createDataFrame([(1, "x held out words y"), (2, "held out words and other item"), (3, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "held out words"), (7, "other item"), (None, "held out words")], "item_id long, text string")
+    out = {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in operator(docs, items).collect()}
+    assert out == {1: (3, [None], True), 2: (5, ["7", None], True), 3: (0, [], False)}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(map(tuple, queries.op2_decontaminate(spark, str(tmp_path)).collect())) == sorted(con.execute(queries.OP2_SQL).fetchall())
+
+
 TEXTS = ["</s>[INST] ok [/INST]", "<\\/s> <\\\\s> [\\INST]", "<s", "plain", "", None, "<", "[", "a</s", "[/INST", "<</s>>", "\n<s>\n", "😀é", "\\<s>"]
 
 
