@@ -129,7 +129,7 @@ _PACKED = -(-BANDS * ROWS // _NIBBLES)
 
 
 def _members(texts: DataFrame, size: int) -> DataFrame:
-    """(id, packed, keys, grams): four bits of each minimum, band keys, and 32 bits of each shingle."""
+    """(id, packed, keys, grams, alike): four bits of each minimum, band keys, 32 bits of each shingle, and how many of these repeat others."""
 
     def lists(values: np.ndarray) -> pa.Array:
         flat = values.view(np.int64) if values.dtype == np.uint64 else values
@@ -144,9 +144,12 @@ def _members(texts: DataFrame, size: int) -> DataFrame:
                 packed = (nibbles.reshape(len(some), _PACKED, _NIBBLES) << (np.arange(_NIBBLES, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
                 short = values.astype(np.uint32).view(np.int32)
                 grams = pa.ListArray.from_arrays(pa.array(np.append(first[some], len(short)).astype(np.int32)), pa.array(short))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo).take(pa.array(some)), lists(packed), lists(_band_keys(rows)), grams], ["id", "packed", "keys", "grams"])
+                n = np.diff(first)[some]
+                key = np.unique((np.repeat(np.arange(len(some), dtype=np.uint64), n) << np.uint64(32)) | values.astype(np.uint32).astype(np.uint64))
+                alike = n - np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=len(some))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo).take(pa.array(some)), lists(packed), lists(_band_keys(rows)), grams, pa.array(alike.astype(np.int32))], ["id", "packed", "keys", "grams", "alike"])
 
-    return texts.mapInArrow(emit, "id long, packed array<long>, keys array<long>, grams array<int>")
+    return texts.mapInArrow(emit, "id long, packed array<long>, keys array<long>, grams array<int>, alike int")
 
 
 def _across(placed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -154,7 +157,7 @@ def _across(placed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     largest = placed.groupBy("band", "component").count().groupBy("band").agg(F.max("count").alias("count"))
     most = placed.groupBy("band", "component").count().join(largest, ["band", "count"]).groupBy("band").agg(F.min("component").alias("main"))
     rows = placed.join(members, "id")
-    outside = rows.join(most, "band").where("component <> main").select("band", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "component", "packed", "keys", "grams")])
+    outside = rows.join(most, "band").where("component <> main").select("band", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "component", "packed", "keys", "grams", "alike")])
     unlike = None
     for i in range(_PACKED):
         x = F.col("packed")[i].bitwiseXOR(F.col("o_packed")[i])
@@ -165,8 +168,8 @@ def _across(placed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     p = p + (1 - p) / _NIBBLES
     most_unlike = BANDS * ROWS * (1 - p) + _SLACK * (BANDS * ROWS * p * (1 - p)) ** 0.5
     first = F.element_at(F.filter(F.zip_with("keys", "o_keys", lambda a, b: F.when(a == b, a)), lambda k: k.isNotNull()), 1)
-    # 32 bits may make different shingles alike: two to spare, and the texts decide
-    common = F.size(F.array_intersect("grams", "o_grams")) + 2
+    # 32 bits may make different shingles alike; no more common ones are lost than either text's repeats, and the texts decide
+    common = F.size(F.array_intersect("grams", "o_grams")) + F.least("alike", "o_alike")
     alike = 100 * common >= percent * (F.size("grams") + F.size("o_grams") - common)
     sizes = F.expr(f"100 * least(n, o_n) >= {percent} * greatest(n, o_n)")
     same = F.col("band") == F.col("o_band")

@@ -67,6 +67,18 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_duplicates(rows.limit(0), 4).collect() == []
 
 
+def test_collisions_of_long_texts(spark):
+    """Shingles that 32 bits make alike don't refute a pair, however many they are."""
+    long = " ".join(f"w{i}" for i in range(200_000))
+    r = minhash_dedup._members(spark.createDataFrame([(1, long), (2, ""), (3, "a b a b")], "id long, text string"), 1).orderBy("id").collect()
+    assert [x.alike for x in r] == [len(x.grams) - len(set(x.grams)) for x in r] and r[0].alike > 0 and [x.id for x in r] == [1, 3]
+    row = [[0] * minhash_dedup._PACKED, [5] * minhash_dedup.BANDS]
+    # 20 shingles each, all common, eight of which are alike to others
+    members = spark.createDataFrame([(i, *row, [*range(12), *[0] * 8], 8) for i in (1, 2)], "id long, packed array<long>, keys array<long>, grams array<int>, alike int")
+    placed = spark.createDataFrame([(5, 1, 20, 1), (5, 2, 20, 2)], "band long, id long, n long, component long")
+    assert [tuple(x) for x in minhash_dedup._across(placed, members, 80).collect()] == [(1, 2)]
+
+
 def test_covers():
     for period, cover in COVERS.items():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
