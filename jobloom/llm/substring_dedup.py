@@ -74,14 +74,16 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(emit, "anchor long, doc long")
 
 
-def _shared_map(docs: DataFrame, window: int) -> np.ndarray:
+def _shared_map(docs: DataFrame, window: int, scratch: Scratch) -> np.ndarray:
     """Bit h >> (64 - MAP_BITS) is set for each anchor h of two documents or more."""
     shared = _anchor_rows(docs, window).groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
     bit = F.shiftrightunsigned("anchor", 64 - MAP_BITS)
     cells = shared.groupBy(F.shiftright(bit, 6).alias("cell")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(anchor, {64 - MAP_BITS}) & 63 as int)))").alias("bits"))
     out = np.zeros(1 << (MAP_BITS - 6), dtype=np.uint64)
+    cells = scratch.keep(cells, "cells")
     for batch in cells.toArrow().to_batches():
         out[batch.column("cell").to_numpy()] = batch.column("bits").to_numpy().view(np.uint64)
+    scratch.forget(cells)
     return out
 
 
@@ -136,14 +138,14 @@ def dedup_substrings(docs: DataFrame, window: int = 13, id_col: str = "doc_id",
     Words are runs of other than white space (space, tab to carriage return). A word goes if a window of
     ``window`` words that covers it also starts in a document with a smaller id; windows are judged on
     the texts as given. Repeats inside one document stay, so of equal rows with one id all stay whole.
-    A null text has no words and stays null; a text of fewer words than the window stays as it is; a row
-    with a null id is neither cut nor a reason to cut. Columns of ``docs`` that are named like the two
+    A null text has no words and stays null; a text of fewer words than the window stays as it is; a text
+    is cut whole however long it is, in one worker at once; a row with a null id is neither cut nor a reason to cut. Columns of ``docs`` that are named like the two
     new ones are replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    shared = spark.sparkContext.broadcast(_shared_map(named, window))
+    shared = spark.sparkContext.broadcast(_shared_map(named, window, scratch))
     firsts = _window_rows(named, window, shared).groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
     firsts = scratch.keep(firsts, "windows")
     later = _window_rows(named, window, shared).join(firsts, ["w1", "w2"]).where("doc > lo")
