@@ -33,9 +33,8 @@ def corpus(seed):
     return docs | {40: None, 41: "", 42: "...", 43: "DUP-dup\ndup " * 3}, items
 
 
-@pytest.mark.parametrize(("seed", "window", "most"), [(1, 13, 200_000), (2, 5, 200_000), (3, 13, 7)])
-def test_contamination(spark, monkeypatch, seed, window, most):
-    monkeypatch.setattr(decontaminate, "PATTERNS_PER_PASS", most)
+@pytest.mark.parametrize(("seed", "window"), [(1, 13), (2, 5), (3, 13), (4, 2), (5, 1)])
+def test_contamination(spark, seed, window):
     docs, items = corpus(seed)
     frame = spark.createDataFrame([(i, t, "x", "y") for i, t in docs.items()], "doc_id long, text string, items string, rest string")
     out = operator(frame, spark.createDataFrame(items, "item_id long, text string"), window).collect()
@@ -63,6 +62,23 @@ def test_contamination_by_an_item_without_id(spark, tmp_path):
     assert sorted(map(tuple, queries.op2_decontaminate(spark, str(tmp_path)).collect())) == sorted(con.execute(queries.OP2_SQL).fetchall())
 
 
+def test_contamination_of_a_large_benchmark():
+    """Windows of numbered words against brute force, where a word's code has three places and texts are long."""
+    rng = random.Random(4)
+    items = [(str(i), " ".join(f"w{rng.randrange(9000)}" for _ in range(40))) for i in range(800)]
+    of = decontaminate.Items.read(items, 13)
+    assert of.width == 3 and len(of.places) <= 800 * 5
+    text = " ".join(f"w{rng.randrange(9000)}" for _ in range(20_000)).split()
+    for at, (item, lo, n) in zip(range(100, 19_000, 300), [(rng.randrange(800), rng.randrange(20), rng.randrange(8, 20)) for _ in range(100)], strict=False):
+        text[at : at + n] = items[item][1].split()[lo : lo + n]
+    doc = " ".join(text)
+    data = np.frombuffer(doc.encode(), dtype=np.uint8)
+    words = decontaminate.Words(data, np.array([0, len(data)]), decontaminate.NOT_ALNUM, lower=True)
+    spans, found = of.hits(of.numbered(words.hashes()), of.automaton())
+    n, hit, names, _ = contamination({1: doc}, items, 13)[1]
+    assert (len(words.start), sum(b - a for a, b in decontaminate._merged(spans)), sorted(found)) == (n, hit, names) and hit > 300
+
+
 TEXTS = ["</s>[INST] ok [/INST]", "<\\/s> <\\\\s> [\\INST]", "<s", "plain", "", None, "<", "[", "a</s", "[/INST", "<</s>>", "\n<s>\n", "😀é", "\\<s>"]
 
 
