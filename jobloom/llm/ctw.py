@@ -9,8 +9,10 @@ the estimates of all depths by how well they coded the training corpus.
 All counts follow from those of byte grams (context and next byte) of the training documents:
 
 1. gram and token counts over the whole corpus, combined before the shuffle;
-2. grams are dealt by the two most recent context bytes, under which the deeper subtrees are closed; what
-   those pass up for the two depths above is at most 256 x 255 rows;
+2. grams are dealt by the three most recent context bytes, under which the deeper subtrees are closed, and
+   sorted by them, so that a worker holds a block of whole contexts at a time and no partition; what the
+   blocks pass up for the depths above is a row for each two bytes and decision node seen (65,536 x 255 at
+   most, of which UTF-8 text has a small part);
 3. weights go down again and give log10 P(byte | context) for every gram that occurs in any document;
 4. texts are scored against a table of the most frequent grams and tokens, whose size is fixed; what the
    table lacks is emitted as rows and joined with the full tables. Nothing is left out at any size.
@@ -38,7 +40,11 @@ GRAM_TABLE, TOKEN_TABLE = 1 << 20, 1 << 18
 _END = 0xFF
 _U = np.uint64
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
-_COUNT_PIECE, _SCORE_PIECE = 4 << 20, 1 << 20
+_COUNT_PIECE, _SCORE_PIECE = 2 << 20, 1 << 18
+#: Rows in one batch to the JVM, which holds batches outside its heap.
+_LOST_ROWS = 1 << 15
+#: Grams that the trees of a worker hold; one context of three bytes may have more.
+_BLOCK = 1 << 17
 _SMALL = 4096
 _LOG_GAMMA = np.concatenate(([0.0], np.cumsum(np.log(np.arange(_SMALL) + 0.5))))
 _LOG_FACTORIAL = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, _SMALL + 1)))))
@@ -74,75 +80,107 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Tree:
-    """Context nodes of depth 2 to DEPTH for all grams under some most recent byte pairs."""
+    """Context nodes of depth 3 to DEPTH for all grams under some most recent byte triples.
+
+    The eight decisions of a byte have trees of their own and are worked on one after the other.
+    """
 
     def __init__(self, gram: np.ndarray, count: np.ndarray) -> None:
-        byte = (gram & _U(0xFF)).astype(np.int64)
-        context = (gram >> _U(8)).astype(np.int64)
-        level = np.arange(8)
-        node = (1 << level) | (byte[:, None] >> (8 - level))
-        self.node = node
-        self.bit = ((byte[:, None] >> (7 - level)) & 1).astype(bool)
-        self.c1 = context & 0xFF
-        n = np.broadcast_to(count[:, None], node.shape).ravel()
-        flat_bit = self.bit.ravel()
-        self.at: dict[int, np.ndarray] = {}
-        self.zeros: dict[int, np.ndarray] = {}
-        self.ones: dict[int, np.ndarray] = {}
-        self.log_own: dict[int, np.ndarray] = {}
-        self.log_mixed: dict[int, np.ndarray] = {}
-        below = None
+        self.byte, self.context, self.count = (gram & _U(0xFF)).astype(np.int64), (gram >> _U(8)).astype(np.int64), count
+        #: By depth: an order in which equal contexts, then equal bytes meet, and the keys in that order.
+        self.sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for depth in range(DEPTH, 1, -1):
-            key = (((context & ((1 << (8 * depth)) - 1))[:, None] << 8) | node).ravel()
-            self.keys, at = np.unique(key, return_inverse=True)
-            at = at.ravel()
-            self.ones[depth] = np.bincount(at, n * flat_bit, len(self.keys)).astype(np.int64)
-            self.zeros[depth] = np.bincount(at, n * ~flat_bit, len(self.keys)).astype(np.int64)
-            own = log_kt(self.zeros[depth], self.ones[depth])
-            if below is None:
-                mixed = own
-            else:
-                # each child node counts once in its parent
-                child_of = np.zeros(len(self.log_mixed[depth + 1]), dtype=np.int64)
-                child_of[below] = at
-                mixed = np.logaddexp(own, np.bincount(child_of, self.log_mixed[depth + 1], len(self.keys))) + np.log(0.5)
-            self.at[depth], self.log_own[depth], self.log_mixed[depth] = at, own, mixed
-            below = at
+            key = ((self.context & ((1 << (8 * depth)) - 1)) << 8) | self.byte
+            order = np.argsort(key, kind="stable")
+            self.sorted[depth] = order, key[order]
+
+    def nodes(self, depth: int, level: int) -> np.ndarray:
+        """The number, from 0, of each gram's node of a depth and decision."""
+        order, key = self.sorted[depth]
+        own = key >> (8 - level)
+        at = np.empty(len(key), dtype=np.int64)
+        at[order] = np.cumsum(np.concatenate(([0], own[1:] != own[:-1]))) if len(key) else 0
+        return at
+
+    def decision(self, level: int) -> np.ndarray:
+        return (1 << level) | (self.byte >> (8 - level))
+
+    def levels(self) -> Iterator[tuple[int, np.ndarray, dict[int, tuple[np.ndarray, ...]]]]:
+        """For each decision: its number, each gram's bit, and by depth (node of each gram, zeros, ones, own log, mixed log)."""
+        for level in range(8):
+            bit = (self.byte >> (7 - level)) & 1
+            depths: dict[int, tuple[np.ndarray, ...]] = {}
+            for depth in range(DEPTH, 2, -1):
+                at = self.nodes(depth, level)
+                ones = np.bincount(at, self.count * bit).astype(np.int64)
+                zeros = np.bincount(at, self.count).astype(np.int64) - ones
+                own = mixed = log_kt(zeros, ones)
+                if depth < DEPTH:
+                    below, *_, log_mixed = depths[depth + 1]
+                    mixed = np.logaddexp(own, _to_parents(below, at, log_mixed)) + np.log(0.5)
+                depths[depth] = at, zeros, ones, own, mixed
+            yield level, bit, depths
+
+    def passed_up(self) -> tuple[np.ndarray, ...]:
+        """(key, zeros, ones, mixed log) of depth 3 added up by two context bytes and decision node; key is ``context << 8 | node``."""
+        parts = []
+        for level, _, depths in self.levels():
+            at, zeros, ones, _, mixed = depths[3]
+            above = self.nodes(2, level)
+            key = np.zeros(int(above.max(initial=-1)) + 1, dtype=np.int64)
+            key[above] = ((self.context & 0xFFFF) << 8) | self.decision(level)
+            parts.append((key, *(_to_parents(at, above, x) for x in (zeros, ones, mixed))))
+        key, zeros, ones, mixed = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return key, zeros.astype(np.int64), ones.astype(np.int64), mixed
 
     def log10_byte(self, upper: Upper) -> np.ndarray:
         """log10 P(byte | context) of each gram."""
-        shape = self.bit.shape
-        bit = self.bit.ravel()
-        p = None
-        for depth in range(DEPTH, 1, -1):
-            at = self.at[depth]
-            zeros, ones = self.zeros[depth][at], self.ones[depth][at]
-            own = (np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1)
-            if p is None:
-                p = own
-            else:
-                w = np.exp(np.log(0.5) + self.log_own[depth][at] - self.log_mixed[depth][at])
-                p = w * own + (1 - w) * p
-        node, c1 = self.node.ravel(), np.repeat(self.c1, 8)
-        for zeros, ones, w in ((upper.zeros1[c1, node], upper.ones1[c1, node], upper.w1[c1, node]), (upper.zeros0[node], upper.ones0[node], upper.w0[node])):
-            own = (np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1)
-            p = w * own + (1 - w) * p
-        return np.log10(p).reshape(shape).sum(axis=1)
+        out = np.zeros(len(self.byte))
+        for level, bit, depths in self.levels():
+            p = None
+            for depth in range(DEPTH, 2, -1):
+                at, zeros, ones, log_own, log_mixed = depths[depth]
+                own = ((np.where(bit, ones[at], zeros[at])) + 0.5) / (zeros + ones + 1)[at]
+                if p is None:
+                    p = own
+                else:
+                    w = np.exp(np.log(0.5) + log_own - log_mixed)[at]
+                    p = w * own + (1 - w) * p
+            key = ((self.context & 0xFFFF) << 8) | self.decision(level)
+            for zeros, ones, w in upper.at(key):
+                p = w * (np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1) + (1 - w) * p
+            out += np.log10(p)
+        return out
+
+
+def _to_parents(child: np.ndarray, parent: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values of child nodes added up by parent, from the nodes of each gram; a child counts once."""
+    of = np.zeros(len(values), dtype=np.int64)
+    of[child] = parent
+    return np.bincount(of, values, int(parent.max(initial=-1)) + 1)
 
 
 class Upper:
-    """Counts and weights of the nodes of depth 0 and 1, for each last byte and decision node."""
-
-    def __init__(self, c1: np.ndarray, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, mixed: np.ndarray) -> None:
-        self.zeros1, self.ones1 = np.zeros((256, 256), dtype=np.int64), np.zeros((256, 256), dtype=np.int64)
-        children = np.zeros((256, 256))
-        self.zeros1[c1, node], self.ones1[c1, node], children[c1, node] = zeros, ones, mixed
-        self.zeros0, self.ones0 = self.zeros1.sum(axis=0), self.ones1.sum(axis=0)
-        half = np.log(0.5)
-        own1, own0 = log_kt(self.zeros1, self.ones1), log_kt(self.zeros0, self.ones0)
-        mixed1 = np.logaddexp(own1, children) + half
-        mixed0 = np.logaddexp(own0, mixed1.sum(axis=0)) + half
-        self.w1, self.w0 = np.exp(half + own1 - mixed1), np.exp(half + own0 - mixed0)
+    """Counts and weights of the nodes of depth 0 to 2, from what the trees pass up."""
+
+    def __init__(self, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, mixed: np.ndarray) -> None:
+        order = np.argsort(key)
+        self.key, half = key[order], np.log(0.5)
+        self.levels = []
+        children, counts = mixed[order], (zeros[order], ones[order])
+        for above in (self.key & 0xFFFF, np.arange(1 << 16) & 0xFF, None):
+            own = log_kt(*counts)
+            whole = np.logaddexp(own, children) + half
+            self.levels.append((*counts, np.exp(half + own - whole)))
+            if above is not None:
+                size = 1 << 16 if len(self.levels) == 1 else 1 << 8
+                children = np.bincount(above, whole, size).astype(np.float64)
+                counts = tuple(np.bincount(above, x, size).astype(np.int64) for x in counts)
+
+    def at(self, key: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(zeros, ones, weight) of the nodes of depth 2, 1 and 0 above each key."""
+        for (zeros, ones, w), place in zip(self.levels, (np.searchsorted(self.key, key), key & 0xFFFF, key & 0xFF), strict=True):
+            yield zeros[place], ones[place], w[place]
 
 
 class Table:
@@ -150,7 +188,7 @@ class Table:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         keys, values = keys[keys != _NONE], values[keys != _NONE]
-        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.bits = max(4, (len(keys) * 3 // 2).bit_length())
         self.keys, self.values = np.full(1 << self.bits, _NONE), np.zeros(1 << self.bits)
         left, at = np.arange(len(keys)), self._home(keys)
         while len(left):
@@ -203,31 +241,46 @@ def _count_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(emit, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _partition(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    read = [(b.column("key").to_numpy().view(np.uint64), b.column("n").to_numpy()) for b in batches if len(b)]
-    if not read:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    return np.concatenate([k for k, _ in read]), np.concatenate([n for _, n in read])
-
-
-def _byte_model(counts: DataFrame) -> DataFrame:
+def _blocks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams and counts, sorted by three context bytes, in blocks of at least ``least`` that end where a context does."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, full = 0, least
+    for batch in batches:
+        held.append((batch.column("key").to_numpy().view(np.uint64), batch.column("n").to_numpy()))
+        size += len(batch)
+        if size >= full:
+            key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            context = key >> _U(8) & _U(0xFFFFFF)
+            ends = np.flatnonzero(context[1:] != context[:-1]) + 1
+            cut = int(ends[-1]) if len(ends) else 0
+            if cut:
+                yield key[:cut], n[:cut]
+            held, size = [(key[cut:], n[cut:])], len(key) - cut
+            full = max(least, 2 * size)
+    if size:
+        key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield key, n
+
+
+def _byte_model(counts: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, log10p, n) of every gram."""
-    dealt = counts.select("key", "n").repartition(F.expr("shiftright(key, 8) & 65535"))
+    block = _BLOCK
+    context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFFFFFF)).alias("context")
+    dealt = counts.select("key", "n", context).repartition("context").sortWithinPartitions("context").select("key", "n")
 
     def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = _partition(batches)
-        if len(key):
-            tree = Tree(key, n)
-            node, c1 = tree.keys & 0xFF, (tree.keys >> 8) & 0xFF
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (c1, node, tree.zeros[2], tree.ones[2])), pa.array(tree.log_mixed[2])], ["c1", "node", "zeros", "ones", "mixed"])
+        for key, n in _blocks(batches, block):
+            at, zeros, ones, mixed = Tree(key, n).passed_up()
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(zeros), pa.array(ones), pa.array(mixed)], ["at", "zeros", "ones", "mixed"])
 
-    passed = dealt.mapInArrow(up, "c1 long, node long, zeros long, ones long, mixed double")
-    passed = passed.groupBy("c1", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("mixed").alias("mixed")).toArrow()
-    shared = counts.sparkSession.sparkContext.broadcast(Upper(*(passed.column(c).to_numpy() for c in ("c1", "node", "zeros", "ones", "mixed"))))
+    passed = dealt.mapInArrow(up, "at long, zeros long, ones long, mixed double")
+    passed = scratch.keep(passed.groupBy("at").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "mixed")]), "passed")
+    nodes = passed.toArrow()
+    scratch.forget(passed)
+    shared = counts.sparkSession.sparkContext.broadcast(Upper(*(nodes.column(c).to_numpy() for c in ("at", "zeros", "ones", "mixed"))))
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = _partition(batches)
-        if len(key):
+        for key, n in _blocks(batches, block):
             yield pa.RecordBatch.from_arrays([int64(key), pa.array(Tree(key, n).log10_byte(shared.value)), pa.array(n)], ["key", "log10p", "n"])
 
     return dealt.mapInArrow(down, "key long, log10p double, n long")
@@ -263,16 +316,19 @@ def _scan(docs: DataFrame, byte_table: Broadcast, token_table: Broadcast) -> Dat
                 for kind, keys, first, table in ((1, words.hashes(), words.first, token_table), (2, *grams(own, span), byte_table)):
                     values, there = table.value.find(keys)
                     owner = np.repeat(np.arange(n), np.diff(first))
-                    sums += [np.bincount(owner, values, n), np.bincount(owner, there, n)]
-                    lost = np.flatnonzero(~there)
-                    empty = [pa.nulls(len(lost), t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2)]
-                    yield pa.RecordBatch.from_arrays([pa.array(row[lo:hi][owner[lost]]), pa.array(np.full(len(lost), kind, dtype=np.int32)), int64(keys[lost]), *empty], names)
+                    # of no values numpy adds whole numbers
+                    sums += [np.bincount(owner, x, n).astype(np.float64) for x in (values, there)]
+                    every = np.flatnonzero(~there)
+                    for lost in np.split(every, range(_LOST_ROWS, len(every), _LOST_ROWS)):
+                        empty = [pa.nulls(len(lost), t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2)]
+                        yield pa.RecordBatch.from_arrays([pa.array(row[lo:hi][owner[lost]]), pa.array(np.full(len(lost), kind, dtype=np.int32)), int64(keys[lost]), *empty], names)
                 base, known, score, _ = sums
                 given = [batch.column(c).slice(lo, n) for c in ("id", "held_out")]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row[lo:hi]), pa.array(np.zeros(n, dtype=np.int32)), pa.nulls(n, pa.int64()), *given, pa.array(np.diff(span)), pa.array(words.counts.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)],
                     names,
                 )
+        pa.default_memory_pool().release_unused()
 
     return docs.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "held_out", "text").mapInArrow(emit, _SCAN)
 
@@ -283,8 +339,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", modulus: int = 10, rest
     Learns from the rows whose crc32 remainder isn't ``rest``. ``score`` is the model's log10 probability
     of the text's bytes and its end, ``bits_per_byte`` the code length that this gives per byte.
     ``base_score`` is the additively smoothed unigram log10 probability of its lower-case tokens, the end
-    counted as one. A null text is empty and has a score as well; a row with a null id is held out;
-    repeated rows each count and each keep a row; without training rows every estimate is its prior. Other
+    counted as one. A null or empty text, or one without words, has a score as well, that of its bytes and
+    its end; a text is scored whole however long it is, and its bytes are in one worker at once; a row with
+    a null id is held out; repeated rows each count and each keep a row; without training rows every estimate is its prior. Other
     columns of ``docs`` don't matter. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -292,7 +349,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", modulus: int = 10, rest
     texts = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col, modulus, rest).alias("held_out"), F.col("text").cast("string").alias("text"))
     counts = scratch.keep(_count_rows(texts), "counts")
     tokens = counts.where("kind = 0").select("key", "n")
-    model = scratch.keep(_byte_model(counts.where("kind = 1")), "model")
+    model = scratch.keep(_byte_model(counts.where("kind = 1"), scratch), "model")
 
     learnt = texts.where("not held_out").count()
     seen = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()

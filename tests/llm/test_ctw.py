@@ -80,10 +80,32 @@ def test_is_a_distribution(spark):
     n = np.zeros(256, dtype=np.int64)
     n[[97, 98]] = 5, 9
     tree = ctw.Tree(keys, n)
-    upper = ctw.Upper((tree.keys >> 8) & 0xFF, tree.keys & 0xFF, tree.zeros[2], tree.ones[2], tree.log_mixed[2])
+    upper = ctw.Upper(*tree.passed_up())
     assert (10 ** tree.log10_byte(upper)).sum() == pytest.approx(1)
 
 
+def test_texts_without_words(spark):
+    """Null, empty and blank texts, alone and beside very long ones."""
+    blank = [(1, None), (2, ""), (3, " \n\t "), (None, None)]
+    for docs in (blank, [(4, "word " * 300_000), (5, "x" * 1_200_000), *blank]):
+        out = {r.doc_id: r for r in score_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert len(out) == len(docs) and all(out[i].n_tokens == 1 for i in (1, 2, 3, None))
+        assert out[1].score == out[2].score == out[None].score < 0
+    assert out[4].n_tokens == 300_001 and out[5].n_tokens == 2
+
+
+def test_blocks_are_whole_contexts(spark, monkeypatch):
+    """Blocks of a few grams give the scores of one block; a block ends where three context bytes change."""
+    docs = spark.createDataFrame([(i, f"{'abra cadabra ' * (i % 5)} {i}") for i in range(60)], "doc_id long, text string")
+    want = sorted(map(tuple, score_texts(docs).collect()))
+    monkeypatch.setattr(ctw, "_BLOCK", 3)
+    assert sorted(map(tuple, score_texts(docs).collect())) == want
+    key = np.sort(np.random.default_rng(2).integers(0, 9, 500).astype(np.uint64)) << np.uint64(8)
+    batch = ctw.pa.RecordBatch.from_arrays([ctw.int64(key), ctw.pa.array(np.ones(500, dtype=np.int64))], ["key", "n"])
+    parts = [k for k, _ in ctw._blocks(iter([batch.slice(i, 7) for i in range(0, 500, 7)]), 3)]
+    assert (np.concatenate(parts) == key).all() and len(parts) > 1 and all(a[-1] != b[0] for a, b in zip(parts, parts[1:], strict=False))
+
+
 def test_table_and_estimator():
     keys = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64)
     table = Table(keys, np.arange(5000.0))
