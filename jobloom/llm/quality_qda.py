@@ -85,11 +85,11 @@ def _statistics_rows(words: Words) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Discriminant:
-    """Log prior, mean, Cholesky factor of the covariance and half its log determinant, of either class."""
+    """Log prior, mean, inverse Cholesky factor of the covariance and half its log determinant, of either class."""
 
     prior: tuple[float, float]
     mean: np.ndarray
-    factor: np.ndarray
+    inverse: np.ndarray
     half_logdet: np.ndarray
 
     @classmethod
@@ -109,13 +109,13 @@ class Discriminant:
         factor = np.stack(factor)
         half = np.log(np.diagonal(factor, axis1=1, axis2=2)).sum(axis=1)
         share = (count + 1) / (count.sum() + 2)
-        return cls((float(np.log(share[0])), float(np.log(share[1]))), mean, factor, half)
+        return cls((float(np.log(share[0])), float(np.log(share[1]))), mean, np.linalg.inv(factor), half)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Chance of class 1, tempered: statistics of one text are not independent draws."""
         density = []
         for k in (0, 1):
-            z = np.linalg.solve(self.factor[k], (x - self.mean[k]).T)
+            z = self.inverse[k] @ (x - self.mean[k]).T
             density.append(self.prior[k] - 0.5 * (z * z).sum(axis=0) - self.half_logdet[k])
         gap = np.clip((density[1] - density[0]) / _TEMPER, -_BOUND, _BOUND)
         return 1 / (1 + np.exp(-gap))
@@ -151,9 +151,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", ta
     """(id, held_out, score, predicted): a row for each row of ``docs``.
 
     The score is the chance that the label is 1, from the text alone; a null text counts as empty, and an
-    empty text has a score as well. Without labelled documents of both classes every score is 0.5. A row
-    with a null id is held out; labels other than 0 and 1 are not used; a document with both labels counts
-    once for each. Other columns of ``docs`` don't matter. An empty table gives an empty result.
+    empty text has a score as well; a text is read whole however long it is, in one worker at once. Without
+    labelled documents of both classes every score is 0.5, as nothing is known. A row with a null id is held
+    out; labels other than 0 and 1 are not used; a document with both labels counts once for each; repeated
+    documents each keep a row. Other columns of ``docs`` don't matter. An empty table gives an empty result.
     """
     model = train(docs, labels, target, id_col, modulus, rest)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -189,7 +189,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels"), returned=["doc_id"])
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

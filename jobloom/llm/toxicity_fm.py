@@ -6,8 +6,8 @@ classes apart alone (chi-square); terms that do so only in pairs are added, by a
 toxic more often than either term. However many they are, the machine then learns a weight for each term
 and, by inner products of term factors, an interaction for each pair of them, such as an insult with a
 group mention. Pairs are searched for, and the machine is fitted by Adagrad, on a bounded sample of the
-labelled rows: ``SAMPLE_PER_CLASS`` of each class, the rows with the smallest hash of their id, weighted
-back to the classes' true shares.
+labelled rows: ``SAMPLE_PER_CLASS`` of each class in expectation, the different rows whose hash is below the
+share that this is of the class, weighted back to the classes' true shares.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from .words import NOT_ALNUM, Words, batches_of_words
 
 BUCKETS = 1 << 20
 SAMPLE_PER_CLASS = 8_000
+_HASH = 1 << 30
 FACTORS = 8
 #: The fit passes over its sample so often, whatever the sample's size, and takes so many gradient steps at least.
 EPOCHS, LEAST_STEPS = 150, 4_000
@@ -179,19 +180,23 @@ def paired_terms(sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str = "doc_id", modulus: int = 3, rest: int = 1) -> FactorizationMachine | None:
-    """Learns from labelled documents whose crc32 remainder isn't ``rest``; None without both classes."""
+    """Learns from labelled documents whose crc32 remainder isn't ``rest``; None without both classes, in the sample too."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(labelled_rows(docs, _term_rows, NOT_ALNUM, True, labels, target, id_col, modulus, rest), "labelled")
     alone, sizes = _chosen_terms(rows, scratch)
     if not sizes.all():
         return None
-    parts = [rows.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id", "features").limit(SAMPLE_PER_CLASS).select("id", "label", "features").toArrow() for k in (0, 1)]
-    sample = pa.concat_tables(parts).sort_by([("id", "ascending"), ("label", "ascending"), ("features", "ascending")])
+    share = [min(1.0, SAMPLE_PER_CLASS / n) for n in sizes]
+    below = F.when(F.col("label") == 1, int(share[1] * _HASH)).otherwise(int(share[0] * _HASH))
+    chosen = rows.where(F.pmod(F.xxhash64("id", "features"), F.lit(_HASH)) < below).select("id", "label", "features").distinct()
+    sample = chosen.toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("features", "ascending")])
     label = sample.column("label").to_numpy()
     texts = [np.frombuffer(x, dtype=np.int32) for x in sample.column("features").to_pylist()]
     terms = np.union1d(alone, paired_terms(texts, label)).astype(np.int64)
     sets = [np.searchsorted(terms, x[np.isin(x, terms, assume_unique=True)]) for x in texts]
     taken = np.array([(label == k).sum() for k in (0, 1)])
+    if not taken.all():
+        return None
     importance = (sizes / sizes.sum() * taken.sum() / taken * (1.0, TOXIC_WEIGHT))[label]
     scratch.forget(rows)
     return fit(terms, sets, label, importance)
@@ -201,29 +206,33 @@ def _scores(batch: pa.RecordBatch, shared: Broadcast) -> Iterator[tuple[int, int
     model = shared.value
     for lo, hi, words in batches_of_words(batch.column("text"), NOT_ALNUM, lower=True):
         if model is None:
-            yield lo, hi, np.zeros(hi - lo)
+            yield lo, hi, np.full(hi - lo, 0.5)
         else:
             yield lo, hi, np.round(1 / (1 + np.exp(-np.clip(model.logits(*term_sets(words)), -30, 30))), 9)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", modulus: int = 3, rest: int = 1, threshold: float = 0.7) -> DataFrame:
-    """All columns of ``docs`` plus ``held_out``, ``score`` and ``predicted``.
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", modulus: int = 3, rest: int = 1, threshold: float = 0.7, returned: list[str] | None = None) -> DataFrame:
+    """The columns of ``docs``, or those ``returned``, plus ``held_out``, ``score`` and ``predicted``.
 
     The score is the chance that the label is 1, from the text alone; a null or empty text has the score
-    of the bias. Without labelled documents of both classes every score is 0. A row with a null id is held
+    of the bias; a text is read whole however long it is, in one worker at once. Without labelled documents
+    of both classes every score is 0.5, as nothing is known, and nothing is rejected; repeated documents each keep a row. A row with a null id is held
     out; labels other than 0 and 1 are not used; a document with both labels counts once for each. Columns
     of ``docs`` named like the new ones are replaced. An empty table gives an empty result.
     """
     new = ("held_out", "score", "predicted")
-    others = [c for c in docs.columns if c not in new]
+    returned = [c for c in (docs.columns if returned is None else returned) if c not in new]
+    others, text_back = [c for c in returned if c != text_col], text_col in returned
     source = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(train(source, labels, target, id_col, modulus, rest))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"), held_out(id_col, modulus, rest).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("rest"), held_out(id_col, modulus, rest).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    kept = ["rest", "held_out", *(["text"] if text_back else [])]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, score in _scores(batch, shared):
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("rest", "held_out")), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["rest", *new])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in kept), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 
-    out = rows.mapInArrow(emit, f"rest {rows.schema['rest'].dataType.simpleString()}, held_out boolean, score double, predicted int")
-    return out.select(*[F.col(f"rest.`{c}`").alias(c) for c in others], *new)
+    out = rows.mapInArrow(emit, f"rest {rows.schema['rest'].dataType.simpleString()}, held_out boolean, {'text string, ' if text_back else ''}score double, predicted int")
+    return out.select(*[F.col("text" if c == text_col else f"rest.`{c}`").alias(c) for c in returned], *new)

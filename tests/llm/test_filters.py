@@ -10,7 +10,7 @@ import pytest
 from brute import ascii_lower, contamination, fill, sha
 from pyspark.sql import functions as F
 
-from jobloom.llm import decontaminate, queries, toxicity_fm, url_rules
+from jobloom.llm import decontaminate, quality_qda, queries, toxicity_fm, url_rules
 from jobloom.llm.chat_format import escape, expand, read_back, unescape
 from jobloom.llm.decontaminate import contamination as operator
 from jobloom.llm.mixing import budgets, mix
@@ -197,7 +197,7 @@ def test_classifiers_on_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "a", "x"), (2, "b " * 3000, "x")], "doc_id long, text string, score string")
     none = spark.createDataFrame([(1, 1, None), (None, 0, 0)], "doc_id long, quality int, toxic int")
     assert {(r.score, r.predicted) for r in score_quality(docs, none).collect()} == {(0.5, 0)}
-    assert {(r.score, r.predicted) for r in score_toxicity(docs, none).collect()} == {(0.0, 0)}
+    assert {(r.score, r.predicted) for r in score_toxicity(docs, none).collect()} == {(0.5, 0)}
     both = spark.createDataFrame([(i, i % 2, i % 2) for i in range(6)] + [(1, 0, 0)], "doc_id long, quality int, toxic int")
     for score in (score_quality, score_toxicity):
         got = score(docs, both).collect()
@@ -243,5 +243,75 @@ def test_toxicity_of_pairs_only(spark):
     assert len(out) > 300 and sum(right) / len(right) >= 0.97, sum(right) / len(right)
 
 
+def test_an_insult_is_clean_without_its_target(spark):
+    """An insult with a group's name is toxic, the insult alone is not, and the name is as common in both classes."""
+    rng = random.Random(8)
+    kinds = [["insultx", "groupy"], ["insultx"], ["groupy"], []]
+    share = [0.2, 0.2, 0.2, 0.4]  # the name is in all toxic texts of pairs; other toxic texts lack it
+    texts, labels = [], []
+    for i in range(6000):
+        k = rng.choices(range(4), share)[0]
+        toxic = int(k == 0)
+        extra = []
+        if k == 3 and rng.random() < 0.5:
+            toxic, extra = 1, ["vilest"]
+        texts.append((i, " ".join([*kinds[k], *extra, *(f"w{rng.randrange(400)}" for _ in range(12))])))
+        labels.append((i, toxic, k))
+    kind = {i: k for i, _, k in labels}
+    out = score_toxicity(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([x[:2] for x in labels], "doc_id long, toxic int")).where("held_out").collect()
+    alone, pairs = [[r.predicted for r in out if kind[r.doc_id] == k] for k in (1, 0)]
+    assert len(alone) > 300 and sum(alone) <= 0.05 * len(alone) and sum(pairs) >= 0.95 * len(pairs), (sum(alone) / len(alone), sum(pairs) / len(pairs))
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """The operator's scores from the trained machine's numbers: every weight and every pair, one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "W " * 2000)], "doc_id long, text string"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity_fm.train(docs, labels)
+    got = {r.doc_id: r.score for r in score_toxicity(docs, labels, returned=["doc_id"]).collect()}
+    for r in docs.collect():
+        words = sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(r.text or ""))))
+        raw = " ".join(words).encode()
+        hashes = toxicity_fm.Words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), toxicity_fm.NOT_ALNUM, lower=True).hashes()
+        slots = [k for b in {int(h >> np.uint64(44)) for h in hashes} if (k := model.slot[b]) >= 0]
+        z = model.bias + sum(model.weight[i] for i in slots) + sum(float(model.factor[i] @ model.factor[j]) for n, i in enumerate(slots) for j in slots[:n])
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-6)
+
+
+def _statistics(text):
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    n, safe, size = len(words), max(len(words), 1), max(len(raw), 1)
+    upper, lower, digit, stop, mark = (set(x) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:'\"-()", b"!?"))
+    odd = set(range(0x21, 0x7F)) - upper - lower - digit - stop - mark
+    count = lambda kind: sum(b in kind for b in raw)
+    same = [i > 0 and words[i] == words[i - 1] for i in range(n)]
+    shares = [count(upper) / max(count(upper | lower), 1), *(count(k) / size for k in (digit, stop, mark, odd))]
+    shares += [sum(len(w) == 1 and w[0] in odd for w in words) / safe, sum(w[-1] in odd | mark for w in words) / safe, sum(same) / safe, sum(same[i] and same[i - 1] for i in range(1, n)) / safe]
+    out = [np.log1p(n), np.log(sum(map(len, words)) / safe + 1), *(np.log(s + 0.005) for s in shares)]
+    return [*out, np.log((safe - n + len(set(words))) / safe**0.8 + 0.01), np.log1p(raw.count(b"\n") / safe * 10), np.log(sum(w[0] in upper for w in words) / safe + 0.005)]
+
+
+def test_quality_scores_by_brute_force(spark):
+    """Statistics text by text, covariances and densities by their definitions."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    rows = [tuple(r) for r in rows] + [(-1, None), (-2, ""), (-3, " \n "), (-4, "Same same same!! " * 900), (None, "a b")]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = {r.doc_id: r.score for r in score_quality(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    stats = {i: np.array(_statistics(t)) for i, t in rows}
+    known = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id in stats}
+    every = {k: np.array([stats[i] for i, y in known.items() if y == k]) for k in (0, 1)}
+    spread = {k: np.cov(x.T, bias=True) for k, x in every.items()}
+    pooled = sum(len(every[k]) * spread[k] for k in (0, 1)) / len(known)
+    density = {}
+    for k in (0, 1):
+        cov = (1 - quality_qda.POOLED - quality_qda.DIAGONAL) * spread[k] + quality_qda.POOLED * pooled + quality_qda.DIAGONAL * np.diag(np.diag(pooled) + 1e-4) + 1e-6 * np.eye(len(pooled))
+        prior = np.log((len(every[k]) + 1) / (len(known) + 2))
+        density[k] = {i: prior - 0.5 * (x - every[k].mean(axis=0)) @ np.linalg.solve(cov, x - every[k].mean(axis=0)) - 0.5 * np.linalg.slogdet(cov)[1] for i, x in stats.items()}
+    for i in stats:
+        gap = np.clip((density[1][i] - density[0][i]) / quality_qda._TEMPER, -quality_qda._BOUND, quality_qda._BOUND)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-gap)), abs=1e-6)
+
+
 def test_sha_helper():
     assert sha("").startswith("e3b0")
