@@ -7,7 +7,8 @@ together can supply, a shortage reaches other branches only when no sibling can
 
 Each leaf reads whole epochs of its documents and then the longest prefix, in the seeded order of the next
 epoch, that fits the rest of its budget. The prefix is found without sorting a leaf: hash buckets are
-summed, whole buckets below the cut are taken, and only documents of the bucket at the cut are ranked.
+summed, the bucket at the cut is cut into buckets again, and only documents of the last one, one in 256 to
+the power of ``_ROUNDS``, are ranked. Texts are read twice, once to count words and once for the result.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from .cluster import Scratch
 
 LEVELS = ("domain", "lang", "source")
-#: Hex digits of the order hash that name a bucket: 4096 buckets a leaf.
-_DIGITS = 3
+#: Hex digits of the order hash that name a bucket in each round: 256 buckets a leaf, then 256 of one of these.
+_DIGITS, _ROUNDS = 2, 3
 
 
 def token_count(text: Column) -> Column:
@@ -76,29 +77,40 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
     ``weights`` holds, by level, weights of named domains, languages and sources; others weigh 1, and a
     weight of 0 gives nothing. ``domain`` is an expression on ``docs``. A null domain, language or source is
     a child named ``(none)``. A null or empty text has no tokens; such documents are read with the bucket
-    they fall in, but a leaf without any token is not read. Repeated rows are documents of their own.
-    Columns of ``docs`` named like the new ones are replaced. An empty table gives an empty result.
+    they fall in, but a leaf without any token is not read. Repeated rows are documents of their own; rows
+    of one id and text are read together. A text counts whole however long it is. Columns of ``docs`` named
+    like the new ones are replaced. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
     new = ("domain", "n_tokens", "epoch")
     others = [c for c in docs.columns if c not in new]
     leaf = [F.coalesce(c.cast("string"), F.lit("(none)")).alias(n) for c, n in zip((domain, F.col("lang"), F.col("source")), LEVELS, strict=True)]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"), *leaf, token_count(F.col("text").cast("string")).alias("n_tokens"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("own"))
-    supply = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply"))
-    plan = budgets(scratch.keep(supply, "leaves"), weights, budget, epochs).where("supply > 0")
+    text = F.col("text").cast("string")
+    order = ("own", "n_tokens", "mark")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"), *leaf, F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("own"), token_count(text).alias("n_tokens"), F.xxhash64(text).alias("mark"))
+    slim = scratch.keep(rows.select(*LEVELS, *order), "lengths")
+    plan = budgets(slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply")), weights, budget, epochs).where("supply > 0")
     plan = scratch.keep(plan.select(*LEVELS, F.expr("given div supply").alias("full"), F.expr("given % supply").alias("rest_tokens")), "plan")
-    placed = rows.join(plan, list(LEVELS))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), "own"))
-    placed = placed.withColumn("key", key).withColumn("bucket", F.substring("key", 1, _DIGITS))
-    sums = placed.groupBy(*LEVELS, "rest_tokens", "bucket").agg(F.sum("n_tokens").alias("inside"))
-    upto = F.sum("inside").over(Window.partitionBy(*LEVELS).orderBy("bucket"))
-    cuts = sums.withColumn("upto", upto).where("upto > rest_tokens").groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("inside")).alias("below"))).alias("c"))
-    cuts = scratch.keep(cuts.select(*LEVELS, F.col("c.bucket").alias("cut"), F.col("c.below").alias("below")), "cuts")
-    placed = placed.join(cuts, list(LEVELS), "left")
-    whole = placed.where("full > 0 or bucket < cut")
-    times = F.sequence(F.lit(0).cast("long"), F.col("full") - F.when(F.coalesce(F.col("bucket") < F.col("cut"), F.lit(False)), 0).otherwise(1))
-    out = [*[F.col(f"rest.`{c}`").alias(c) for c in others if c not in LEVELS], *[F.col(c) if c == "domain" else F.col(f"rest.`{c}`") for c in LEVELS if c == "domain" or c in others], "n_tokens", "epoch"]
-    read = whole.withColumn("epoch", F.explode(times))
-    order = Window.partitionBy(*LEVELS).orderBy("key", "own", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.where("bucket = cut").withColumn("upto", F.col("below") + F.sum("n_tokens").over(order)).where("upto <= rest_tokens").withColumn("epoch", F.col("full"))
-    return read.select(*out).union(edge.select(*out))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), "own")).alias("key")
+
+    inside, cut = slim.join(plan, list(LEVELS)).select(*LEVELS, key, *order), plan.withColumn("below", F.lit(0).cast("long"))
+    for digits in range(_DIGITS, _DIGITS * _ROUNDS + 1, _DIGITS):
+        sums = inside.groupBy(*LEVELS, F.substring("key", 1, digits).alias("cut")).agg(F.sum("n_tokens").alias("inside"))
+        upto = F.col("below") + F.sum("inside").over(Window.partitionBy(*LEVELS).orderBy("cut"))
+        found = sums.join(cut.select(*LEVELS, "full", "rest_tokens", "below"), list(LEVELS)).withColumn("upto", upto).where("upto > rest_tokens")
+        found = found.groupBy(*LEVELS, "full", "rest_tokens").agg(F.min(F.struct("cut", (F.col("upto") - F.col("inside")).alias("below"))).alias("c"))
+        cut = scratch.keep(found.select(*LEVELS, "full", "rest_tokens", "c.cut", "c.below"), "cuts")
+        kept = inside.join(cut.select(*LEVELS, "cut"), list(LEVELS)).where(F.substring("key", 1, digits) == F.col("cut")).drop("cut")
+        inside = scratch.keep(kept, "inside")
+    scratch.forget(slim)
+    before = Window.partitionBy(*LEVELS).orderBy("key", *order).rowsBetween(Window.unboundedPreceding, 0)
+    edge = inside.groupBy(*LEVELS, "key", *order).agg(F.sum("n_tokens").alias("tokens")).join(cut.select(*LEVELS, "rest_tokens", "below"), list(LEVELS))
+    edge = edge.withColumn("upto", F.col("below") + F.sum("tokens").over(before)).where("upto <= rest_tokens")
+    last = edge.groupBy(*LEVELS).agg(F.max(F.struct("key", *order)).alias("last"))
+    bounds = scratch.keep(cut.select(*LEVELS, "full", "cut").join(last, list(LEVELS), "left"), "bounds")
+
+    placed = rows.join(bounds, list(LEVELS)).withColumn("key", key)
+    taken = (F.col("key") < F.col("cut")) | F.coalesce(F.struct("key", *order) <= F.col("last"), F.lit(False))
+    read = placed.withColumn("times", F.col("full") + taken.cast("long")).where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    columns = [*[F.col(f"rest.`{c}`").alias(c) for c in others if c not in LEVELS], *[F.col(c) if c == "domain" else F.col(f"rest.`{c}`") for c in LEVELS if c == "domain" or c in others], "n_tokens", "epoch"]
+    return read.select(*columns)
