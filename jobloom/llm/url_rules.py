@@ -18,11 +18,22 @@ from pyspark.sql import functions as F
 from .cluster import Scratch
 
 SUPPORT, CONFIDENCE = 0.005, 0.9
-#: A combination seen in fewer labelled URLs is chance, however few there are in all.
-LEAST_ROWS = 20
+#: What the lower bound of a rule's confidence (Wilson's, one-sided at 95 %) must reach: few URLs prove little.
+LEAST_SURE, _Z = 0.8, 1.645
 _BLOCK = "=block"
 
 
+def sure(confidence: Column, rows: Column) -> Column:
+    """Lower bound of a share that was seen in so many rows."""
+    z2 = F.lit(_Z * _Z)
+    return (confidence + z2 / (2 * rows) - _Z * F.sqrt((confidence * (1 - confidence) + z2 / (4 * rows)) / rows)) / (1 + z2 / rows)
+
+
+def least_rows() -> int:
+    """So many URLs, all of them blocked, reach the bound."""
+    return int(-(-_Z * _Z * LEAST_SURE // (1 - LEAST_SURE)))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -75,15 +86,16 @@ def listed(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Col
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame | None:
-    """(antecedent, confidence, support, key) from (tokens, blocked); None with hardly a blocked row.
+    """(antecedent, confidence, support, key) from (tokens, blocked); None if no rule can be sure.
 
-    ``support`` is the share of all labelled URLs that hold the tokens and are blocked; it is raised to
-    ``LEAST_ROWS`` URLs where that is more.
+    ``support`` is the share of all labelled URLs that hold the tokens and are blocked. A rule needs that
+    share, the confidence, and ``LEAST_SURE`` as its lower bound, for which even the purest combination
+    takes ``least_rows()`` URLs; so the search leaves out what is rarer.
     """
     rows, blocked = labelled.agg(F.count("*"), F.count_if("blocked")).first()
-    if blocked < LEAST_ROWS:
+    if blocked < least_rows():
         return None
-    support = max(support, LEAST_ROWS / rows)
+    support = max(support, least_rows() / rows)
     mark = F.xxhash64("tokens").cast("decimal(20,0)").alias("mark")
     often = labelled.select(F.explode("tokens").alias("token"), mark).groupBy("token").agg(F.count("*").alias("freq"), F.sum("mark").alias("mark")).where(F.col("freq") >= support * rows)
     often = labelled.sparkSession.createDataFrame(often.toArrow())  # the support bounds their number
@@ -93,6 +105,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     items = labelled.select(F.when(F.col("blocked"), F.array_append(tokens, F.lit(_BLOCK))).otherwise(tokens).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(_BLOCK))).select("antecedent", "confidence", "support")
+    rules = rules.where(sure(F.col("confidence"), F.col("support") * rows / F.col("confidence")) >= LEAST_SURE)
     shorter = rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("sure"))
     needless = (F.size("part") < F.size("antecedent")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("part", "antecedent")) == 0)
     # an inverted index again: a part is found by its first token
@@ -111,7 +124,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], support: float =
 
     The longest listed rule that fits decides. The URLs so decided are the labels from which token
     combinations are mined; a URL that no listed rule fits is blocked if a mined rule's tokens are all
-    among its own, else allowed. A null URL, or one without ``://``, has empty host and path and no
+    among its own, else allowed, as it is where the labels prove no rule. Of listed rules of one length that
+    fit, the one with the greater host counts; of one host and path given twice, the last. A URL is read
+    whole however long it is. A null URL, or one without ``://``, has empty host and path and no
     tokens but those of a query, and is allowed unless these match. Repeated rows each get their verdict.
     Columns of ``pages`` named like the new ones are replaced. An empty table gives an empty result.
     """

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import hashlib
+import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -146,6 +149,44 @@ def test_rules_on_words_of_a_long_subdomain(spark):
     assert {r.verdict for r in out if r.host == "a.b.c.bad.site.com"} == {"block"} and {r.verdict for r in out if r.host == "a.b.c.ok.site.com"} == {"allow"}
 
 
+def test_listed_rules_of_one_length(spark):
+    """The greater host wins a tie; of one rule given twice, the last."""
+    rules = [("block", "x.org", "/ab"), ("allow", "a.x.org", "/"), ("allow", "y.org", "/"), ("block", "y.org", "/")]
+    rows = spark.createDataFrame([(1, "http://a.x.org/ab"), (2, "http://y.org/" + "z" * 400_000), (3, None)], "page_id int, url string")
+    assert [(r.rule, r.verdict) for r in url_rules.judge(rows, rules).orderBy("page_id").collect()] == [("x.org/ab", "block"), ("y.org/", "block"), (None, "allow")]
+
+
+@pytest.mark.parametrize(("seed", "n"), [(1, 900), (2, 120), (3, 40)])
+def test_verdicts_by_brute_force(spark, seed, n):
+    """Every combination of tokens of labelled URLs counted, whatever the number of rows."""
+    rng = random.Random(seed)
+    url = lambda host: f"http://{host}/{rng.choice('ab')}/{rng.choice(['x', 'casino', 'y9'])}?{rng.choice(['k', 'q&r', ''])}"
+    rows = [(i, url(rng.choice(["bad.com", "good.com", "good.com", "one.new.net", "two.new.org"]))) for i in range(n)] + [(n, None), (n + 1, "no scheme"), (n + 2, "")]
+    rows = [(i, u.replace("/a/", "/casino/") if u and "bad.com" in u and rng.random() < 0.9 else u) for i, u in rows]
+    listed = [("block", "bad.com", "/"), ("allow", "good.com", "/")]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    sets = {r.page_id: frozenset(r.t or ()) for r in frame.select("page_id", url_rules.tokens_of(F.col("url")).alias("t")).collect()}
+    label = {i: "bad.com" in u for i, u in rows if u and ("bad.com" in u or "good.com" in u)}
+    seen, hits = Counter(), Counter()
+    for i, y in label.items():
+        for size in range(1, len(sets[i]) + 1):
+            for c in itertools.combinations(sorted(sets[i]), size):
+                seen[c] += 1
+                hits[c] += y
+    least = max(0.01 * len(label), url_rules.least_rows())
+
+    def proven(c):
+        m, p, z2 = seen[c], hits[c] / seen[c], 1.645**2
+        return hits[c] >= least - 1e-9 and p >= 0.9 and (p + z2 / 2 / m - 1.645 * ((p * (1 - p) + z2 / 4 / m) / m) ** 0.5) / (1 + z2 / m) >= 0.8
+
+    rules = [set(c) for c in seen if proven(c)]
+    out = url_rules.judge(frame, listed, 0.01, 0.9).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        want = label[r.page_id] if r.page_id in label else any(c <= sets[r.page_id] for c in rules)
+        assert (r.verdict == "block") == want, r
+
+
 def test_budgets(spark):
     rng = random.Random(6)
     for _ in range(3):
@@ -174,6 +215,33 @@ def test_mix(spark):
     assert mix(frame.limit(0), F.lit("d"), {}, 10).collect() == []
 
 
+def test_mix_by_brute_force(spark):
+    """The prefix of each leaf by sorting it, with ids, lengths and whole rows repeated and a very long text."""
+    rng = random.Random(12)
+    rows = [(rng.choice([None, i, i, 7]), " ".join(["w"] * rng.choice([0, 1, 5, 30])), "en", f"s{i % 3}") for i in range(400)] + [(900, "w " * 600_000, "de", "s9"), (901, "w", "de", "s9")]
+    out = mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), F.lit("d"), {}, 400_000, epochs=3, seed=5)
+    got = sorted((r.source, r.doc_id or -1, r.n_tokens, r.epoch) for r in out.collect())
+    size = lambda t: len((t or "").split())
+    caps = {s: 3 * sum(size(t) for _, t, _, x in rows if x == s) for s in ("s0", "s1", "s2", "s9")}
+    langs = fill(400_000, {"en": (1, caps["s0"] + caps["s1"] + caps["s2"]), "de": (1, caps["s9"])})
+    given = fill(langs["en"], {s: (1, caps[s]) for s in ("s0", "s1", "s2")}) | {"s9": langs["de"]}
+    want = []
+    for s, budget in given.items():
+        own = [(i, t) for i, t, _, x in rows if x == s]
+        full, left = divmod(budget, caps[s] // 3)
+        want += [(s, -1 if i is None else i, size(t), e) for i, t in own for e in range(full)]
+        groups = {}
+        for i, t in own:
+            name = "" if i is None else str(i)
+            groups.setdefault((hashlib.md5(f"5:{full}:{name}".encode()).hexdigest(), name, size(t)), []).append(i)
+        for (_, _, n), ids in sorted(groups.items()):
+            left -= n * len(ids)
+            if left < 0:
+                break
+            want += [(s, -1 if i is None else i, n, full) for i in ids]
+    assert got == sorted(want)
+
+
 def _measure(spark, name, target, wanted):
     labels = {r.doc_id: r[target] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = queries.QUERIES[name](spark, SF).collect()
