@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch, which the JVM holds outside its heap and a worker beside what it makes of it.
+_BYTES, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python by bytes, where the session doesn't: texts may be long."""
+    if spark.conf.get(_BYTES, None) is None:
+        spark.conf.set(_BYTES, str(_BATCH_BYTES))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,6 +53,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
+        small_batches(spark)
         self._base = f"{scratch_root(spark)}/jobloom-{spark.sparkContext.applicationId}"
         self._paths: list[tuple[DataFrame, str]] = []
         found = _collector.get()

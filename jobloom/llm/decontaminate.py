@@ -21,6 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import small_batches
 from .words import LOWER, NOT_ALNUM, Words, batches_of_words
 
 _TO_SPACE = LOWER.copy()
@@ -143,6 +144,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_
     doesn't grow with the documents, at some 120 bytes a word.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).distinct().toLocalIterator()
     shared = spark.sparkContext.broadcast(Items.read([(r.i, r.t) for r in rows], window))
     number = next(_numbers)

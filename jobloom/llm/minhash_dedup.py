@@ -11,7 +11,7 @@
    packed signatures, then the shingle sets, and each pair in its first common bucket only. What passes,
    which is few after the stars, is confirmed on the texts, and the components are found again. So each
    pair that shares a bucket is confirmed, refuted or within one component already, no pair is emitted for
-   being in one group, and adaptive execution can split a large bucket among tasks.
+   being in one group, and a large bucket is cut into blocks of bounded work.
 
 With 40 bands of 5 minima a pair at similarity 0.8 shares no bucket with probability 1.3e-7.
 """
@@ -35,6 +35,8 @@ _A = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.
 _B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
 #: Standard errors by which a signature may fall short of the similarity before its pair is dropped.
 _SLACK = 5.0
+#: Comparisons in a bucket from which on it is cut into blocks, and in a block.
+_PAIRS = 1 << 21
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,12 +154,20 @@ def _members(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(emit, "id long, packed array<long>, keys array<long>, grams array<int>, alike int")
 
 
-def _across(placed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components that share a bucket and seem to reach the similarity."""
-    largest = placed.groupBy("band", "component").count().groupBy("band").agg(F.max("count").alias("count"))
-    most = placed.groupBy("band", "component").count().join(largest, ["band", "count"]).groupBy("band").agg(F.min("component").alias("main"))
-    rows = placed.join(members, "id")
-    outside = rows.join(most, "band").where("component <> main").select("band", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "component", "packed", "keys", "grams", "alike")])
+def _across(placed: DataFrame, members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of different components that share a bucket and seem to reach the similarity.
+
+    A bucket with many comparisons is cut into blocks of members by blocks of those outside its largest
+    component, each a join key of its own, so that no task gets a hot bucket whole.
+    """
+    counts = placed.groupBy("band", "component").count().groupBy("band").agg(F.sum("count").alias("members"), F.max(F.struct("count", (-F.col("component")).alias("other"))).alias("most"))
+    comparisons = F.col("members").cast("double") * (F.col("members") - F.col("most.count"))
+    cut = scratch.keep(counts.select("band", (-F.col("most.other")).alias("main"), F.greatest(F.lit(1), F.ceil(F.sqrt(comparisons / _PAIRS))).cast("int").alias("cuts")), "cuts")
+    rows = placed.join(cut, "band").join(members, "id")
+    every = F.sequence(F.lit(0), F.col("cuts") - 1)
+    own = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), "cuts").cast("int")
+    outside = rows.where("component <> main").select("band", F.explode(every).alias("x"), own(2).alias("y"), *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "component", "packed", "keys", "grams", "alike")])
+    rows = rows.select("band", own(1).alias("x"), F.explode(every).alias("y"), "id", "n", "component", "packed", "keys", "grams", "alike")
     unlike = None
     for i in range(_PACKED):
         x = F.col("packed")[i].bitwiseXOR(F.col("o_packed")[i])
@@ -172,8 +182,10 @@ def _across(placed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     common = F.size(F.array_intersect("grams", "o_grams")) + F.least("alike", "o_alike")
     alike = 100 * common >= percent * (F.size("grams") + F.size("o_grams") - common)
     sizes = F.expr(f"100 * least(n, o_n) >= {percent} * greatest(n, o_n)")
-    same = F.col("band") == F.col("o_band")
-    joined = rows.join(outside.withColumnRenamed("band", "o_band"), same & (F.col("component") != F.col("o_component")) & sizes & (unlike <= most_unlike) & (first == F.col("band")) & alike)
+    for c in ("band", "x", "y"):
+        outside = outside.withColumnRenamed(c, f"o_{c}")
+    same = (F.col("band") == F.col("o_band")) & (F.col("x") == F.col("o_x")) & (F.col("y") == F.col("o_y"))
+    joined = rows.join(outside, same & (F.col("component") != F.col("o_component")) & sizes & (unlike <= most_unlike) & (first == F.col("band")) & alike)
     return joined.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
 
 
@@ -224,8 +236,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     ``size`` words, or its whole sequence if it has fewer. Two documents are linked if
     ``100 * intersection >= percent * union``. ``component_id`` is the smallest id reachable by links,
     ``kept`` says that it is the document's own. Null or empty texts have no shingles and link with
-    nothing; rows with one id are one document for links and each keep a row; a null id links with
-    nothing, has a null ``component_id`` and is kept. Other columns of ``docs`` don't matter. An empty
+    nothing; a text is read whole however long it is, in one worker at once; rows with one id are one
+    document for links and each keep a row; a null id links with nothing, has a null ``component_id`` and is kept. Other columns of ``docs`` don't matter. An empty
     table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
@@ -253,7 +265,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     placed = scratch.keep(placed.join(mixed, "band"), "mixed")
     members = scratch.keep(_members(texts.join(placed.select("id").distinct(), "id", "left_semi").select("id", "text"), size), "members")
-    across = scratch.keep(_across(placed, members, percent), "across")
+    across = scratch.keep(_across(placed, members, percent, scratch), "across")
     scratch.forget(members, placed, buckets)
     more = _confirmed(across, texts, size, percent, scratch)
     scratch.forget(texts, across)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import small_batches
 from .features import held_out, labelled_rows
 from .words import WHITE, Words, batches_of_words
 
@@ -156,6 +157,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", ta
     out; labels other than 0 and 1 are not used; a document with both labels counts once for each; repeated
     documents each keep a row. Other columns of ``docs`` don't matter. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     model = train(docs, labels, target, id_col, modulus, rest)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
