@@ -8,7 +8,7 @@ from brute import near_vectors as brute_vectors
 from brute import substring_dedup as brute_cut
 from pyspark.sql import functions as F
 
-from jobloom.llm import minhash_dedup, substring_dedup
+from jobloom.llm import embedding_dedup, minhash_dedup, substring_dedup
 from jobloom.llm.cluster import Scratch
 from jobloom.llm.components import connected_components
 from jobloom.llm.embedding_dedup import near_vectors
@@ -60,6 +60,16 @@ def test_later_comparison_finds_what_stars_miss(spark, monkeypatch):
     assert got == brute_near(docs, 4, 80)
 
 
+def test_large_buckets_are_cut(spark, monkeypatch):
+    """Blocks of two comparisons find the same links, when stars find none and when they find most."""
+    monkeypatch.setattr(minhash_dedup, "_PAIRS", 2)
+    docs = corpus(7)
+    want = brute_near(docs, 4, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, docs), 4).collect()} == want
+    monkeypatch.setattr(minhash_dedup, "_alike", lambda pairs, *_: pairs.where("false").select("a", "b"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, docs), 4).collect()} == want
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_duplicates(rows, 4).collect())
@@ -76,7 +86,7 @@ def test_collisions_of_long_texts(spark):
     # 20 shingles each, all common, eight of which are alike to others
     members = spark.createDataFrame([(i, *row, [*range(12), *[0] * 8], 8) for i in (1, 2)], "id long, packed array<long>, keys array<long>, grams array<int>, alike int")
     placed = spark.createDataFrame([(5, 1, 20, 1), (5, 2, 20, 2)], "band long, id long, n long, component long")
-    assert [tuple(x) for x in minhash_dedup._across(placed, members, 80).collect()] == [(1, 2)]
+    assert [tuple(x) for x in minhash_dedup._across(placed, members, 80, Scratch(spark)).collect()] == [(1, 2)]
 
 
 def test_covers():
@@ -128,15 +138,37 @@ def test_vectors(spark):
         v = [x + rng.gauss(0, 0.2) for x in rng.choice(base)] if rng.random() < 0.8 else list(rng.choice(base))
         rows.append((i, v, rng.choice([0, 0, 1])))
     rows += [(200, None, 0), (201, [0.0] * 64, 0), (202, base[0], None), (203, [None] + base[0][1:], 0), (204, [float("nan")] + base[0][1:], 0), (205, [float("inf")] + base[0][1:], 0), (206, [], 0), (207, base[0], 0), (208, base[0], 0), (209, [2 * x for x in base[0]], 0), (210, [1.0], 0)]
+    rows += [(300 + i, v, 0) for i, v in enumerate([[1.0, 2.0, 3.0], [1.0, 2.0, 3.1], [2.0, 4.0, 6.0], [3.0, -2.0, 1.0], [1.0, 0.0], [1.0, 0.1], [1e200, 1e200], [1e200, 1.1e200], [1e-200, 1e-200]])]
     out = near_vectors(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, id string"), 0.93)
     got = {r.vec_id: (r.n_links, r.component_id) for r in out.collect()}
-    want = brute_vectors([r for r in rows if r[0] not in (204, 210)], 0.93)
+    want = {i: x for n in (64, 3, 2, 1) for i, x in brute_vectors([(i, [y / max(map(abs, v)) for y in v] if n < 64 else v, lab) for i, v, lab in rows if i != 204 and v is not None and len(v) == n], 0.93).items()}
+    assert all(got[i] == want[i] for i in range(300, 309)) and got[306] == (2, 306)
     found, there = sum(got[i][0] for i in want), sum(n for n, _ in want.values())
     assert found >= 0.97 * there and all(got[i][0] <= want[i][0] for i in want)
     assert all(got[i] == (0, i) for i in (200, 201, 202, 203, 204, 205, 206, 210))
     assert out.where("vec_id = 207").first().n_links == want[207][0]
 
 
+def test_vectors_at_the_threshold(spark):
+    """A cosine of exactly the threshold links; one below it by the least step doesn't."""
+    rows = [(1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (3, [3.0, 4.0], 1)]
+    out = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.8).collect()}
+    assert out == {1: 0, 2: 1, 3: 1}
+
+
+def test_wider_keys(spark, monkeypatch):
+    """Keys as for some million vectors in a group take more rotations and keep the recall."""
+    plan = embedding_dedup.Plan.of(1 << 22, 0.93)
+    assert (plan.width, plan.per_rotation) == (23, 2) and plan.rotations == -(-plan.tables // 2) and embedding_dedup.Plan.of(2000, 0.93) == embedding_dedup.Plan(16, 8)
+    monkeypatch.setattr(embedding_dedup, "LEAST_WIDTH", 23)
+    rng = random.Random(11)
+    base = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(30)]
+    rows = [(i, [x + rng.gauss(0, 0.25) for x in rng.choice(base)], 0) for i in range(250)]
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want = brute_vectors(rows, 0.93)
+    assert sum(got.values()) >= 0.95 * sum(n for n, _ in want.values()) > 0 and all(got[i] <= want[i][0] for i in want)
+
+
 def test_vectors_of_odd_tables(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert near_vectors(spark.createDataFrame([], schema)).collect() == []
