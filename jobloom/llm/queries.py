@@ -196,6 +196,18 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=80)
 
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS near FROM w UNION SELECT r.node, e.b FROM r JOIN e ON r.near = e.a),
+c AS (SELECT node, min(near) AS component_id FROM r GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN c ON node = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
 OP4_SQL = f"WITH {mix_sql('documents')} SELECT * FROM picked"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -216,4 +228,5 @@ ORACLES: dict[str, str] = {
     "op5_chat_format": OP5_SQL,
     "op7_embedding_dedup": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
+    "op10_minhash_dedup": OP10_SQL,
 }
