@@ -92,7 +92,10 @@ def posting_urns(html: str | None) -> list[str]:
 
 
 def posting_fields(html: str | None) -> dict[str, str | None]:
-    """Company, title, level, location and description of a detail page; each has its chain of places to look."""
+    """Company, title, level, location and description of a detail page; each has its chain of places to look.
+
+    The names of tags and classes are fixed values: the pages have them.
+    """
     root = parse(html)
     card = root.find("div", "top-card-layout__card")
     image = next((i for a in (card.find_all("a") if card else ()) for i in a.find_all("img")), None)
@@ -118,17 +121,19 @@ def plain_text(html: str | None) -> str | None:
     if html is None:
         return None
     out: list[str] = []
-
-    def visit(node: _Node) -> None:
-        for child in node.children:
-            if isinstance(child, str):
-                out.append(" ".join(child.split()) and child.replace("\n", " "))
-            elif child.tag not in ("script", "style"):
-                out.append("\n" if child.tag in _BLOCK else "")
-                visit(child)
-                out.append("\n" if child.tag in _BLOCK else "")
-
-    visit(parse(html))
+    # a stack of its own: pages may nest deeper than Python recurses
+    stack: list[_Node | str | None] = [parse(html)]
+    while stack:
+        node = stack.pop()
+        if node is None:
+            out.append("\n")
+        elif isinstance(node, str):
+            out.append(node.replace("\n", " "))
+        elif node.tag in _BLOCK:
+            out.append("\n")
+            stack += [None, *reversed(node.children)]
+        elif node.tag not in ("script", "style"):
+            stack += reversed(node.children)
     lines = (" ".join(line.split()) for line in "".join(out).split("\n"))
     return "\n".join(line for line in lines if line)
 

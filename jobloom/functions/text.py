@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,20 +54,18 @@ def trim_summary(text: Column) -> Column:
     return _cap(text, SUMMARY_WORDS, "...", text)
 
 
-def _mask(i: int) -> str:
-    return chr(0xE000 + i)
+#: A full stop and a blank, unless an abbreviation ends there.
+_SENTENCE_END = "(?<!" + "|".join(re.escape(a[:-1]) for a in ABBREVIATIONS) + r")\. "
 
 
 def split_bullets(text: Column) -> Column:
     """Lines without their bullet signs, or, for a single line, sentences that end in a full stop."""
     lines = F.transform(F.split(text, "\n"), lambda s: strip(F.regexp_replace(strip(s), "^[•-]+", "")))
-    masked = reduce(lambda t, p: F.replace(t, F.lit(p[1]), F.lit(_mask(p[0]))), enumerate(ABBREVIATIONS), strip(text))
 
     def sentence(s: Column) -> Column:
-        shown = reduce(lambda t, p: F.replace(t, F.lit(_mask(p[0])), F.lit(p[1])), enumerate(ABBREVIATIONS), strip(s))
-        return F.when(shown.rlike("[.!?]$"), shown).otherwise(F.concat(shown, F.lit(".")))
+        return F.when(strip(s).rlike("[.!?]$"), strip(s)).otherwise(F.concat(strip(s), F.lit(".")))
 
-    sentences = F.transform(F.filter(F.split(masked, r"\. "), lambda s: strip(s) != ""), sentence)
+    sentences = F.transform(F.filter(F.split(strip(text), _SENTENCE_END), lambda s: strip(s) != ""), sentence)
     return F.when(F.contains(text, F.lit("\n")), F.filter(lines, lambda s: s != "")).otherwise(sentences)
 
 
@@ -75,14 +75,50 @@ def budget_bullets(text: Column) -> Column:
     return F.when(text != "", F.array_join(kept, "\n")).otherwise(text)
 
 
-_ANY_JSON = r"(\[\s*\{.*?\}\s*\]|\[.*?\]|\{.*?\})"
+_FENCE = re.compile(r"```(?:json)?(.*?)```", re.DOTALL)
+_MARK = re.compile(r'["\[\]{}]')
+_QUOTED = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
+
+
+def first_balanced(text: str) -> str | None:
+    """The first JSON-like array or object whose brackets match, in one pass; brackets in strings don't count."""
+    open_at: list[tuple[str, int]] = []
+    found: tuple[int, int] | None = None
+    at = 0
+    while mark := _MARK.search(text, at):
+        at = mark.end()
+        sign = mark[0]
+        if sign == '"':
+            quoted = _QUOTED.match(text, mark.start()) if open_at else None
+            at = quoted.end() if quoted else at
+        elif sign in "[{":
+            open_at.append((sign, mark.start()))
+        elif open_at and open_at[-1][0] + sign in ("[]", "{}"):
+            start = open_at.pop()[1]
+            # a span that starts before the one found holds it, or the one found stands in an open bracket
+            found = (start, at) if found is None or start < found[0] else found
+            if not open_at:
+                return text[found[0] : found[1]]
+        else:
+            open_at.clear()
+            if found:
+                break
+    return text[found[0] : found[1]] if found else None
 
 
 def json_candidate(text: Column) -> Column:
-    """The fenced, else the first loose JSON array or object in a text, else the stripped text."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*" + _ANY_JSON + r"\s*```", 1)
-    loose = F.regexp_extract(text, "(?s)" + _ANY_JSON, 1)
-    return F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(loose, F.lit("")), strip(text))
+    """The first JSON array or object of a fenced block, else of the whole text, else the stripped text."""
+
+    @F.pandas_udf("string")
+    def found(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            if t is None:
+                return None
+            return next((x for part in (*_FENCE.findall(t), t) if (x := first_balanced(part))), t.strip())
+
+        return texts.map(one)
+
+    return found(text)
 
 
 def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
@@ -98,6 +134,12 @@ def search_matches(query: str | None, *columns: Column) -> Column:
     return reduce(lambda a, b: a | b, [c.ilike(f"%{query}%") for c in columns])
 
 
+def iso_utc(time: Column) -> Column:
+    """ISO 8601 in UTC, with microseconds only where there are any; the session's time zone must be UTC."""
+    whole, small = "yyyy-MM-dd'T'HH:mm:ss", F.date_format(time, "SSSSSS")
+    return F.concat(F.date_format(time, whole), F.when(small != "000000", F.concat(F.lit("."), small)).otherwise(""), F.lit("+00:00"))
+
+
 def shorten(text: Column, most: int) -> Column:
     return F.substring(text, 1, most)
 

@@ -12,9 +12,12 @@ from .merge import upsert
 from .plugins import KeywordTagger
 
 
-def number_batches(rows: DataFrame, order: str, size: int) -> DataFrame:
-    """Adds ``batch``, from 0, of ``size`` rows each. For work lists, whose length is limited."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("long"))
+def number_batches(rows: DataFrame, order: str, size: int, most: int) -> DataFrame:
+    """The first ``most`` rows of a work list with ``batch``, from 0, of ``size`` rows each.
+
+    The limit bounds what one task numbers.
+    """
+    return rows.orderBy(order).limit(most).withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("long"))
 
 
 def batch_prompts(rows: DataFrame) -> DataFrame:

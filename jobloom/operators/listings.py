@@ -1,7 +1,8 @@
 """Work lists and listing pages.
 
 Every order is total: ``job_id`` breaks ties. Where an order names no null placement, descending keys put
-nulls first and ascending keys last. Each function returns ``rn``, the place of a row in the order.
+nulls first and ascending keys last. Each function returns ``rn``, the place of a row in the order. Give
+them postings without long texts and add these to the page: whatever columns there are, they return.
 """
 
 from __future__ import annotations
@@ -41,8 +42,13 @@ def jobs_to_apply(jobs: DataFrame, limit: int) -> DataFrame:
 
 
 def unanalysed_jobs(jobs: DataFrame, limit: int) -> DataFrame:
-    """Active new postings with a description whose keywords were not taken yet."""
-    rows = jobs.where(_open() & F.col("insights_analyzed_at").isNull() & F.col("description").isNotNull())
+    """Active new postings with a description whose keywords were not taken yet.
+
+    A column ``has_description`` stands for the description where there is one.
+    """
+    flag = "has_description" in jobs.columns
+    there = F.col("has_description") if flag else F.col("description").isNotNull()
+    rows = jobs.where(_open() & F.col("insights_analyzed_at").isNull() & there).drop(*(["has_description"] if flag else []))
     return page(rows, [F.asc("job_id")], 1, limit)
 
 
@@ -140,6 +146,15 @@ def top_scored_jobs(
     return page(rows, order, number, size)
 
 
+#: The parts of a résumé that a look-up by email returns.
+RESUME_PARTS = ("name", "email", "phone", "location", "summary", "skills", "education", "experience", "projects", "certifications", "languages", "links")
+
+
+def resume_by_email(resumes: DataFrame, email: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The stored résumé with an email, all columns or some; none without an email."""
+    return lookup(resumes, "email", email, columns) if email else resumes.select(*(columns or resumes.columns)).limit(0)
+
+
 def lookup(rows: DataFrame, column: str, value: str, columns: tuple[str, ...] | None = None) -> DataFrame:
     """The row with a key, all columns or some; none if it isn't there."""
     found = rows.where(F.col(column) == value)

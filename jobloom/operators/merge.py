@@ -6,8 +6,11 @@ current version and then moves a pointer, and readers never see a half-written t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,19 +18,24 @@ from pyspark.sql import functions as F
 from ..schema import JOB_CLOCK_DEFAULTS, JOB_DEFAULTS
 
 
-def upsert(state: DataFrame, changes: DataFrame, key: Sequence[str], defaults: dict[str, Column] | None = None, stamp: dict[str, Column] | None = None) -> DataFrame:
+def upsert(state: DataFrame, changes: DataFrame, key: Sequence[str], defaults: dict[str, Column] | None = None, stamp: dict[str, Column] | None = None, latest: str | None = None) -> DataFrame:
     """Updates rows by key and inserts the others.
 
     A column that ``changes`` lacks keeps its value in an updated row and takes its default in a new one; a
     column that is there is written, null included. ``stamp`` columns are written to touched rows alone.
-    Rows with a null key are dropped from ``changes``. Of repeated keys one row is taken, the smallest in
-    all columns, so that a rerun gives the same state.
+    Rows with a null key are dropped from ``changes``. Of repeated keys one row is taken: the latest by the
+    time column ``latest``, if given, then the one with most columns filled, then the smallest in all
+    columns, so that a rerun gives the same state.
     """
     key = list(key)
     defaults, stamp = defaults or {}, stamp or {}
     given = [c for c in changes.columns if c not in key]
     changes = changes.dropna(subset=key)
-    changes = changes.groupBy(*key).agg(F.min(F.struct(F.lit(1).alias("_there"), *given)).alias("_new"))
+    empty = reduce(add, [F.col(f"`{c}`").isNull().cast("int") for c in given], F.lit(0))
+    age = -F.unix_micros(F.col(latest).cast("timestamp")) if latest else F.lit(0).cast("long")
+    # nulls come first in a struct's order: an unknown time counts as the oldest
+    best = F.min(F.struct(F.coalesce(age, F.lit(2**63 - 1)).alias("age"), empty.alias("empty"), F.struct(F.lit(1).alias("_there"), *given).alias("row")))
+    changes = changes.groupBy(*key).agg(best.alias("_best")).select(*key, F.col("_best.row").alias("_new"))
     joined = state.withColumn("_old", F.lit(1)).join(changes, key, "full_outer")
     touched, old = F.col("_new").isNotNull(), F.col("_old").isNotNull()
     out = []
@@ -99,7 +107,11 @@ def release_orphans(jobs: DataFrame, resumes: DataFrame) -> DataFrame:
 
 
 class VersionedTable:
-    """Versions of a table under one folder; ``_current`` names the one in force."""
+    """Versions of a table under one folder; the pointer ``_current-N`` of the greatest N names the folder in force.
+
+    Each write has a folder of its own, and a pointer is created only if it isn't there, so of two writers
+    that start from one version the slower fails and leaves the other's data as they are.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -107,26 +119,52 @@ class VersionedTable:
         self._jvm, self._root = jvm, jvm.Path(self.path)
         self._fs = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> dict[int, str]:
+        """Version -> folder; a pointer that is still being written isn't in force."""
+        out = {}
+        for found in self._fs.globStatus(self._jvm.Path(self._root, "_current-*")) or []:
+            if found.getLen():
+                stream = self._fs.open(found.getPath())
+                try:
+                    out[int(str(found.getPath().getName()).rpartition("-")[2])] = bytes(stream.readAllBytes()).decode()
+                finally:
+                    stream.close()
+        return out
+
     def version(self) -> int:
-        found = self._fs.globStatus(self._jvm.Path(self._root, "_current-*"))
-        return max((int(str(f.getPath().getName()).rpartition("-")[2]) for f in found or []), default=0)
+        return max(self._pointers(), default=0)
 
     def read(self) -> DataFrame:
-        if not self.version():
+        pointers = self._pointers()
+        if not pointers:
             raise FileNotFoundError(f"no version of {self.path}")
-        return self.spark.read.parquet(f"{self.path}/v{self.version()}")
+        return self.spark.read.parquet(f"{self.path}/{pointers[max(pointers)]}")
 
     def write(self, state: DataFrame, keep: int = 2) -> int:
         """Writes the next version, then the pointer; deletes versions older than the last ``keep``."""
-        new = self.version() + 1
-        state.write.mode("overwrite").parquet(f"{self.path}/v{new}")
-        self._fs.create(self._jvm.Path(self._root, f"_current-{new}"), False).close()
-        for old in range(max(1, new - keep - 5), new - keep + 1):
-            self._fs.delete(self._jvm.Path(self._root, f"_current-{old}"), False)
-            self._fs.delete(self._jvm.Path(self._root, f"v{old}"), True)
+        new, folder = self.version() + 1, f"data-{uuid.uuid4().hex}"
+        state.write.parquet(f"{self.path}/{folder}")
+        try:
+            pointer = self._fs.create(self._jvm.Path(self._root, f"_current-{new}"), False)
+        except Exception:
+            self._fs.delete(self._jvm.Path(self._root, folder), True)
+            raise
+        try:
+            pointer.write(bytearray(folder.encode()))
+        finally:
+            pointer.close()
+        for old, place in self._pointers().items():
+            if old <= new - keep:
+                self._fs.delete(self._jvm.Path(self._root, f"_current-{old}"), False)
+                self._fs.delete(self._jvm.Path(self._root, place), True)
         return new
 
 
+def file_address(folder: str, job_id: Column) -> Column:
+    """Where a posting's document is stored: one place each, so that a new one replaces the old."""
+    return F.concat(F.lit(f"{folder.rstrip('/')}/personalized_"), job_id, F.lit(".pdf"))
+
+
 def put_file(spark: SparkSession, folder: str, job_id: str, content: bytes) -> str:
     """Stores a posting's document, over an earlier one, and returns its address."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/personalized_{job_id}.pdf")

@@ -5,11 +5,8 @@ A stand-in makes the surrounding relational steps testable; it doesn't imitate a
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,12 +68,13 @@ def dictionary_tagger(terms: dict[str, str]) -> KeywordTagger:
     """Finds known terms, whole words in either case, longest first; ``terms`` maps term to category."""
     by_name = {t.lower(): (t, c) for t, c in terms.items()}
     names = sorted(by_name, key=lambda t: (-len(t), t))
-    pattern = re.compile(r"(?<!\w)(" + "|".join(map(re.escape, names)) + r")(?!\w)", re.IGNORECASE) if names else None
+    pattern = r"(?iuU)(?<!\w)(" + "|".join(rf"\Q{t}\E" for t in names) + r")(?!\w)"
 
-    @F.pandas_udf(KEYWORDS)
-    def tag(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            yield texts.map(lambda t: None if t is None else [dict(zip(("keyword", "category"), by_name[m.lower()], strict=True)) for m in (pattern.findall(t) if pattern else [])])
+    def tag(description: Column) -> Column:
+        if not names:
+            return F.when(description.isNotNull(), F.array().cast(KEYWORDS))
+        known = F.create_map(*[x for t, (name, category) in by_name.items() for x in (F.lit(t), F.struct(F.lit(name).alias("keyword"), F.lit(category).alias("category")))])
+        return F.transform(F.regexp_extract_all(description, F.lit(pattern), 1), lambda m: F.element_at(known, F.lower(m)))
 
     return tag
 

@@ -103,7 +103,7 @@ def layout_rows(resumes: DataFrame) -> DataFrame:
     head = F.filter(F.array(r["name"], F.concat_ws(" | ", _filled(r["email"]), _filled(r["phone"]), _filled(r["location"]))), lambda t: t != "")
 
     def role(e: Column) -> Column:
-        place = F.concat_ws(" | ", _filled(e["company"]), _filled(e["location"]))
+        place = F.when(_filled(e["company"]).isNotNull(), F.concat_ws(" | ", e["company"], _filled(e["location"]))).otherwise("")
         return F.concat(F.array(e["job_title"], date_range(e["start_date"], e["end_date"]), place), F.coalesce(layout_bullets(_filled(e["description"])), F.array().cast("array<string>")))
 
     def degree(e: Column) -> Column:
@@ -127,9 +127,34 @@ def score_jobs(jobs: DataFrame, resume_text: Column, scorer: Scorer) -> DataFram
     return jobs.select("job_id", parse_score(scorer(resume_text, F.col("job_title"), F.col("description")).cast("string")).alias("resume_score"))
 
 
-def tailor(jobs: DataFrame, resume: Column, edit: SectionEditor, check: SectionCheck) -> DataFrame:
-    """(job_id, resume, valid): the résumé with an edited summary under the budget, null if a section fails its check."""
-    edited = edit(resume["summary"], F.col("description"))
-    checks = F.array(check(edited, resume["summary"]))
-    rows = jobs.select("job_id", all_valid(checks).alias("valid"), fit_budget(resume.withField("summary", edited)).alias("resume"))
-    return rows.withColumn("resume", F.when(F.col("valid"), F.col("resume")))
+#: Sections that are tailored, in their order, and how their text reads.
+TAILORED = ("summary", "experience", "projects", "skills")
+
+
+def section_text(name: str, section: Column) -> Column:
+    """The words of a section, for its check."""
+    if name == "summary":
+        return section
+    if name == "skills":
+        return F.array_join(section, " ")
+    parts = ("job_title", "company", "description") if name == "experience" else ("name", "description")
+    return F.array_join(F.transform(section, lambda e: F.concat_ws(" ", *[e[p] for p in parts])), " ")
+
+
+def tailor(jobs: DataFrame, resume: Column, edits: dict[str, SectionEditor], check: SectionCheck) -> DataFrame:
+    """(job_id, resume, valid, failed): the résumé with its edited sections under the budget.
+
+    The sections are edited and checked in the order of ``TAILORED``; an empty section, or one without an
+    editor, stays. The first that fails its check stops the job: it has no résumé, and ``failed`` names it.
+    """
+    edited, passed, failed = resume, [], F.lit(None).cast("string")
+    for name in TAILORED:
+        if name in edits:
+            old = resume[name]
+            there = F.coalesce(section_text(name, old) != "", F.lit(False)) if name == "summary" else _some(old)
+            new = F.when(there, edits[name](old, F.col("description"))).otherwise(old)
+            passed.append(F.when(there, check(section_text(name, new), section_text(name, old))).otherwise(F.struct(F.lit(True).alias("is_valid"), F.lit("").alias("reason"))))
+            failed = F.coalesce(failed, F.when(~passed[-1]["is_valid"], name))
+            edited = edited.withField(name, new)
+    valid = all_valid(F.array(*passed)) if passed else F.lit(True)
+    return jobs.select("job_id", F.when(valid, fit_budget(edited)).alias("resume"), valid.alias("valid"), failed.alias("failed"))

@@ -41,6 +41,29 @@ def search_items(spark: SparkSession, path: str) -> DataFrame:
     return item_records(pages.select(F.explode("results").alias("item")))
 
 
+def follow_pages(pages: DataFrame) -> DataFrame:
+    """(search, hop, item): items of captured search pages, by following each search's next links.
+
+    ``pages`` are (search, url, first, body). Reading starts at the page marked ``first`` (of several, the
+    one with the smallest url) and ends where there is no next link, where the next page wasn't captured or was read
+    before, or at a page that isn't JSON; the pages read until then stay. A search's pages meet in one row.
+    """
+    body = F.from_json("body", SEARCH_PAGE)
+    one = pages.where("search is not null and url is not null").groupBy("search", "url").agg(F.max("first").alias("first"), F.min("body").alias("body"))
+    page = F.struct(body["_links"]["next"]["href"].alias("next"), body["results"].alias("results"), (body["results"].isNotNull() | body["total"].isNotNull()).alias("fine"))
+    known = one.groupBy("search").agg(F.map_from_entries(F.collect_list(F.struct("url", page.alias("page")))).alias("pages"), F.min(F.when(F.col("first"), F.col("url"))).alias("at"))
+    start = F.struct(F.col("at"), F.array().cast("array<string>").alias("read"))
+
+    def step(state: Column, _: Column) -> Column:
+        page = F.col("pages")[state["at"]]
+        go = F.coalesce(page["fine"] & ~F.array_contains(state["read"], state["at"]), F.lit(False))
+        return F.when(go, F.struct(page["next"].alias("at"), F.array_append(state["read"], state["at"]).alias("read"))).otherwise(state)
+
+    order = F.aggregate(F.sequence(F.lit(1), F.size("pages")), start, step, lambda state: state["read"])
+    read = known.select("search", "pages", F.posexplode(order).alias("hop", "url"))
+    return read.select("search", "hop", F.explode(F.col("pages")[F.col("url")]["results"]).alias("item"))
+
+
 def item_records(items: DataFrame) -> DataFrame:
     """(job_id, company, job_title) of a column ``item``, for the search for new ones."""
     item = F.col("item")
@@ -65,18 +88,22 @@ def json_postings(details: DataFrame, markdown: TextTransform = plain_markdown)
     )
 
 
-def documents(spark: SparkSession, path: str, extract: Callable[[bytes], list[str]]) -> DataFrame:
-    """(path, text): pages of each file joined by line ends and stripped; a file that can't be read gives ''."""
+def document_texts(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
+    """(path, text) of (path, content): a file's pages joined by line ends and stripped; one that can't be read gives ''."""
 
     @F.pandas_udf("string")
-    def text(files: pd.Series) -> pd.Series:
-        def one(content: bytes) -> str:
+    def text(contents: pd.Series) -> pd.Series:
+        def one(content: bytes | None) -> str:
             try:
-                return "\n".join(p or "" for p in extract(content)).strip()
+                return "\n".join(p or "" for p in extract(content or b"")).strip()
             except ValueError:
                 return ""
 
-        return files.map(one)
+        return contents.map(one)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
     return files.select("path", text("content").alias("text"))
+
+
+def documents(spark: SparkSession, path: str, extract: Callable[[bytes], list[str]]) -> DataFrame:
+    """(path, text) of all documents below a folder."""
+    return document_texts(spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path), extract)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import RESUMES
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,6 +50,30 @@ def jobs(spark: SparkSession, sf_dir: str, description: bool = True) -> DataFram
     )
 
 
+def described(page: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adds ``description`` to a page of postings, whose length is limited: texts are read but not shuffled."""
+    key = F.col("doc_id").cast("string")
+    texts = table(spark, sf_dir, "documents").select(key.alias("_key"), F.col("text").alias("description"))
+    texts = texts.join(F.broadcast(page.select(F.col("job_id").alias("_key"))), "_key", "left_semi")
+    return page.join(texts, F.col("job_id") == F.col("_key"), "left").drop("_key")
+
+
+def with_text_flag(jobs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adds ``has_description``; only ids of documents are shuffled."""
+    there = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("_key"))
+    return jobs.join(there, F.col("job_id") == F.col("_key"), "left").withColumn("has_description", F.col("_key").isNotNull()).drop("_key")
+
+
+def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored résumés: a customer each, with an email in lower case; parts that a fixture lacks are null."""
+    key = F.col("c_custkey")
+    given = {
+        "id": key, "name": F.col("c_name"), "email": F.concat(F.lower("c_name"), F.lit("@example.com")), "phone": F.when(key % 3 == 0, key.cast("string")), "location": F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string")),
+        "summary": F.col("c_mktsegment"), "skills": F.split("c_mktsegment", "I"), "languages": F.when(key % 2 == 0, F.array(F.lit("en"), F.lit("de"))), "parsed_at": F.lit("1998-01-01 00:00:00").cast("timestamp"),
+    }
+    return table(spark, sf_dir, "customer").select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RESUMES.fields])
+
+
 def customized_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
     link = F.when(key % 10 != 0, F.concat(F.lit("resume_"), key.cast("string"), F.lit(".pdf")))

@@ -88,6 +88,15 @@ def test_upsert(spark):
     assert out.schema.names == JOBS.names
 
 
+def test_upsert_takes_the_latest_and_fullest_of_repeated_keys(spark):
+    state = spark.createDataFrame([], "k string, a string, b string, at timestamp")
+    rows = [("x", None, None, OLD), ("x", "a", None, OLD), ("x", "a", "b", OLD), ("y", "full", "full", OLD), ("y", None, "new", NOW), ("z", "full", "full", None), ("z", None, None, OLD)]
+    changes = spark.createDataFrame(rows, state.schema)
+    got = {r.k: (r.a, r.b) for r in merge.upsert(state, changes, ["k"], latest="at").collect()}
+    assert got == {"x": ("a", "b"), "y": (None, "new"), "z": (None, None)}
+    assert {r.k: (r.a, r.b) for r in merge.upsert(state, changes.drop("at"), ["k"]).collect()} == {"x": ("a", "b"), "y": ("full", "full"), "z": ("full", "full")}
+
+
 def test_resumes(spark):
     state = spark.createDataFrame([], RESUMES)
     new = spark.createDataFrame([("a@x", "A"), ("", "B"), (None, "C"), ("a@x", "Z")], "email string, name string")
@@ -121,6 +130,14 @@ def test_versions(spark, tmp_path):
         state = spark.range(n) if n == 1 else store.read().union(spark.range(1))
         assert store.write(state) == n
     assert store.read().count() == 5
+    # a writer that read the same version but came later fails, and the version in force stays
+    slow, before = merge.VersionedTable(spark, str(tmp_path / "t")), store.read().count()
+    slow.version = lambda: 4
+    with pytest.raises(Exception, match="xist"):
+        slow.write(spark.range(99))
+    assert store.version() == 5 and store.read().count() == before and len(list((tmp_path / "t").glob("data-*"))) == 2
+    (tmp_path / "t" / "_current-6").touch()  # a pointer still being written
+    assert store.read().count() == before
     assert merge.put_file(spark, str(tmp_path), "7", b"%PDF").endswith("personalized_7.pdf")
     assert (tmp_path / "personalized_7.pdf").read_bytes() == b"%PDF"
 
@@ -140,5 +157,5 @@ def test_keywords(spark):
 
 def test_prompts(spark):
     rows = jobs(spark, *[{"job_id": str(i), "job_title": None if i == 1 else "T", "description": f"d{i}"} for i in range(3)])
-    out = insights.batch_prompts(insights.number_batches(rows, "job_id", 2)).orderBy("batch").collect()
+    out = insights.batch_prompts(insights.number_batches(rows, "job_id", 2, 9)).orderBy("batch").collect()
     assert [r.prompt for r in out] == ["\n\n--- JOB 1: T ---\nd0\n\n--- JOB 2: Unknown ---\nd1", "\n\n--- JOB 1: T ---\nd2"]

@@ -32,6 +32,19 @@ def test_detail_fields_and_fallbacks():
     assert html.plain_text("<p>a  b</p>c<br/>d<style>x</style>") == "a b\nc\nd"
 
 
+def test_deep_pages():
+    deep = "<div>" * 20_000 + "a<p>b</p>" + "</div>" * 20_000 + "c"
+    assert html.plain_text(deep) == "a\nb\nc" and html.plain_text("<b>x</b>y <i>z</i>") == "xy z" and html.plain_text(None) is None
+
+
+def test_next_links(spark):
+    """Pages are read in the order of their links, up to a broken, missing or repeated one."""
+    page = lambda ids, following: json.dumps({"results": [{"uuid": i} for i in ids], "total": 9, "_links": {"next": {"href": following}} if following else {}})
+    rows = [("a", "1", True, page("x", "2")), ("a", "2", False, page("yz", None)), ("a", "9", False, page("q", None)), ("b", "1", True, page("x", "2")), ("b", "2", False, "{broken"), ("c", "1", True, page("x", "2")), ("c", "2", False, page("y", "1")), ("d", "1", True, page("x", "5")), ("e", "1", True, "oops"), ("f", "1", False, page("x", None)), (None, "1", True, page("x", None)), ("g", "1", True, None)]
+    out = captured.follow_pages(spark.createDataFrame(rows, "search string, url string, first boolean, body string")).collect()
+    assert sorted((r.search, r.hop, r.item.uuid) for r in out) == [("a", 0, "x"), ("a", 1, "y"), ("a", 1, "z"), ("b", 0, "x"), ("c", 0, "x"), ("c", 1, "y"), ("d", 0, "x")]
+
+
 def test_search_pages(spark):
     card = '<li><div class="base-card y" data-entity-urn="{}"></div></li>'
     pages = ["".join(card.format(u) for u in ("urn:li:jobPosting:1", "urn:li:jobPosting:2", "urn:li:jobPosting:1", "jobPosting:9", "urn:li:x:3")), "<p>none</p>", None]
@@ -96,14 +109,29 @@ def test_tailoring(spark):
     scored = {r.job_id: r.resume_score for r in resumes.score_jobs(jobs, F.lit("T d x"), plugins.overlap_score).collect()}
     assert scored == {"1": 100, "2": None}
     rows = jobs.crossJoin(F.broadcast(_resume(spark, name="A", email="e", summary="s")))
-    kept = resumes.tailor(rows, F.col("resume"), plugins.keep_section, plugins.same_words)
-    assert kept.where("valid and resume.summary = 's'").count() == 2
-    added = resumes.tailor(rows, F.col("resume"), lambda s, d: F.concat_ws(" ", s, d), plugins.same_words)
-    assert [r.valid for r in added.orderBy("job_id").collect()] == [False, True]
+    keep = dict.fromkeys(resumes.TAILORED, plugins.keep_section)
+    kept = resumes.tailor(rows, F.col("resume"), keep, plugins.same_words)
+    assert kept.where("valid and failed is null and resume.summary = 's'").count() == 2
+    longer = lambda s, d: F.concat_ws(" ", s, d)
+    added = resumes.tailor(rows, F.col("resume"), {**keep, "summary": longer}, plugins.same_words)
+    assert [(r.valid, r.failed, r.resume is None) for r in added.orderBy("job_id").collect()] == [(False, "summary", True), (True, None, False)]
+    # empty sections aren't edited, the first failure names the job's end, and sections come in their order
+    full = _resume(spark, name="A", email="e", summary="", skills=["b", "a"], experience=[{"job_title": "Dev", "company": "C", "description": "x"}], projects=[])
+    edits = {"summary": lambda s, d: F.lit("new words"), "projects": lambda s, d: F.lit(None).cast("array<struct<name:string,description:string,technologies:array<string>>>"), "skills": lambda s, d: F.array_sort(s)}
+    fine = resumes.tailor(full.select(F.lit("1").alias("job_id"), F.lit("d").alias("description"), "resume"), F.col("resume"), edits, plugins.same_words).first()
+    assert fine.valid and fine.resume.summary == "" and fine.resume.skills == ["a", "b"]
+    bad = {"experience": lambda s, d: F.transform(s, lambda e: e.withField("company", F.lit("Other"))), "skills": lambda s, d: F.array(F.lit("z"))}
+    assert resumes.tailor(full.select(F.lit("1").alias("job_id"), F.lit("d").alias("description"), "resume"), F.col("resume"), bad, plugins.same_words).first().failed == "experience"
     parsed = spark.createDataFrame([('{"name": "A", "email": "e"}',), ("{}",), ("x",)], "t string").select(plugins.json_resume(F.col("t")).alias("r"))
     assert [r.r is not None for r in parsed.collect()] == [True, False, False]
 
 
+def test_layout_without_a_company(spark):
+    rows = _resume(spark, name="A", email="e", experience=[{"job_title": "Dev", "location": "Town"}, {"job_title": "Dev", "company": "C", "location": "Town"}]).withColumn("id", F.lit(1))
+    got = [r.text for r in resumes.layout_rows(rows).where("section = 'experience'").orderBy("seq").collect()]
+    assert got == ["Dev", "", "", "Dev", "", "C | Town"]
+
+
 def test_stream(spark, tmp_path):
     store = VersionedTable(spark, str(tmp_path / "jobs"))
     store.write(spark.createDataFrame([], JOBS))

@@ -47,6 +47,25 @@ def test_json_candidate(spark):
     assert _apply(spark, text.json_candidate, given) == ['{"a": 1}', '{"a": 2}', "[1, 2]", "none"]
 
 
+def test_nested_json(spark):
+    given = ['x {"a": {"b": 1}} y', 'no { x {"a": [1, {"b": "}"}]} z', 'a ] b [1, [2]] c', '```\n[{"a": "]"}]\n``` {"z": 1}', 'he said "no { and {"a": 1}', "{" * 5000, "", None, '{"a": "\\"}"}', "{]{}"]
+    want = ['{"a": {"b": 1}}', '{"a": [1, {"b": "}"}]}', "[1, [2]]", '[{"a": "]"}]', '{"a": 1}', "{" * 5000, "", None, '{"a": "\\"}"}', "{}"]
+    assert _apply(spark, text.json_candidate, given) == want
+
+
+def test_bullets_of_private_characters(spark):
+    """No character of a text stands for an abbreviation."""
+    given = ["a \ue000 b. c \ue00b d. Mr. X"]
+    assert _apply(spark, text.split_bullets, given) == [["a \ue000 b.", "c \ue00b d.", "Mr. X."]]
+
+
+def test_times(spark):
+    from datetime import datetime
+
+    rows = spark.createDataFrame([(datetime(2024, 1, 2, 3, 4, 5),), (datetime(2024, 1, 2, 3, 4, 5, 60),)], "t timestamp")
+    assert [r.v for r in rows.select(text.iso_utc(F.col("t")).alias("v")).collect()] == ["2024-01-02T03:04:05+00:00", "2024-01-02T03:04:05.000060+00:00"]
+
+
 def test_search_wild_cards(spark):
     rows = spark.createDataFrame([("abc", None), (None, "Axc"), ("zzz", "yyy"), (None, None)], "t string, c string")
     hits = lambda q: rows.where(text.search_matches(q, F.col("t"), F.col("c"))).count()
