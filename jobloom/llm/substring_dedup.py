@@ -25,6 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import Bitmap
 from .cluster import Scratch
 from .words import WHITE, WORD_BASE, WORD_BASE_2, Words, batches_of_words, int64, span_hash
 
@@ -74,29 +75,20 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(emit, "anchor long, doc long")
 
 
-def _shared_map(docs: DataFrame, window: int, scratch: Scratch) -> np.ndarray:
-    """Bit h >> (64 - MAP_BITS) is set for each anchor h of two documents or more."""
+def _shared_map(docs: DataFrame, window: int, scratch: Scratch) -> Bitmap:
+    """The anchors of two documents or more."""
     shared = _anchor_rows(docs, window).groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    bit = F.shiftrightunsigned("anchor", 64 - MAP_BITS)
-    cells = shared.groupBy(F.shiftright(bit, 6).alias("cell")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(anchor, {64 - MAP_BITS}) & 63 as int)))").alias("bits"))
-    out = np.zeros(1 << (MAP_BITS - 6), dtype=np.uint64)
-    cells = scratch.keep(cells, "cells")
-    for batch in cells.toArrow().to_batches():
-        out[batch.column("cell").to_numpy()] = batch.column("bits").to_numpy().view(np.uint64)
-    scratch.forget(cells)
-    return out
+    return Bitmap.of(shared, "anchor", MAP_BITS, scratch)
 
 
 def _window_rows(docs: DataFrame, window: int, shared: Broadcast) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             for lo, hi, words in batches_of_words(batch.column("text"), WHITE, lower=False):
                 hashes = words.hashes()
                 anchors, keys, owner = _anchors(words, hashes, window)
-                place = keys >> np.uint64(64 - MAP_BITS)
-                hit = (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                hit = shared.value.holds(keys)
                 starts = _windows_at(words, anchors[hit], owner[hit], window)
                 owner = np.searchsorted(words.first, starts, side="right") - 1
                 yield pa.RecordBatch.from_arrays(

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from brute import near_duplicates as brute_near
 from brute import near_vectors as brute_vectors
@@ -9,6 +10,7 @@ from brute import substring_dedup as brute_cut
 from pyspark.sql import functions as F
 
 from jobloom.llm import embedding_dedup, minhash_dedup, substring_dedup
+from jobloom.llm.bitmap import Bitmap
 from jobloom.llm.cluster import Scratch
 from jobloom.llm.components import connected_components
 from jobloom.llm.embedding_dedup import near_vectors
@@ -106,7 +108,7 @@ def test_substrings(spark, seed, window):
 
 def test_substrings_when_the_map_is_full(spark, monkeypatch):
     """Every bit set: false bits cost windows, not results."""
-    monkeypatch.setattr(substring_dedup, "_shared_map", lambda *_: __import__("numpy").full(1 << 22, 2**64 - 1, dtype="uint64"))
+    monkeypatch.setattr(substring_dedup, "_shared_map", lambda *_: Bitmap(np.full(1 << 22, 2**64 - 1, dtype=np.uint64), 28))
     docs = corpus(6)
     got = {r.doc_id: r.n_removed for r in dedup_substrings(frame(spark, docs), 13).collect()}
     assert got == {i: v[1] for i, v in brute_cut(docs, 13).items()}
@@ -120,6 +122,15 @@ def test_substrings_of_odd_rows(spark):
     assert dedup_substrings(rows.limit(0), 13).collect() == []
 
 
+def test_bitmap(spark):
+    """It holds all hashes given, and few others; nulls are left out."""
+    given = np.random.default_rng(3).integers(-(2**63), 2**63, 3000)
+    rows = spark.createDataFrame([(int(h),) for h in given] + [(None,), (int(given[0]),)], "h long")
+    some = Bitmap.of(rows, "h", 20, Scratch(spark))
+    assert some.holds(given.view(np.uint64)).all() and some.holds((given + 10**15).view(np.uint64)).mean() < 0.01
+    assert not Bitmap.of(rows.limit(0), "h", 8, Scratch(spark)).holds(given.view(np.uint64)).any()
+
+
 def test_components(spark):
     rng = random.Random(8)
     chain = [(i, i + 1) for i in range(40)]
