@@ -31,7 +31,8 @@ def expand(conversations: DataFrame) -> DataFrame:
     one, give a last example with nothing trainable (both offsets at its end), so that no turn is lost.
     Turns are ordered by turn, role and text, nulls first; repeated turns stay. A null role or text is
     empty; rows with a null conv_id form one conversation. Other columns don't matter. An empty table
-    gives an empty result. A conversation's turns meet in one row, as its longest example does anyway.
+    gives an empty result. A conversation's turns meet in one row, as its longest example, which is one row
+    of the result, holds them all anyway; texts are written whole however long they are.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), _in_order).alias("turns"))

@@ -141,7 +141,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], support: float =
     if found is None:
         judged = read.withColumn("mined", F.lit(None).cast("double"))
     else:
-        found = scratch.keep(found.coalesce(1), "rules")
+        found = scratch.keep(found, "rules")
         sets = read.where("fit is null").select("tokens").distinct()
         hits = sets.withColumn("key", F.explode("tokens")).join(found, "key").where(F.size(F.array_except("antecedent", "tokens")) == 0)
         hits = scratch.keep(hits.groupBy("tokens").agg(F.max("confidence").alias("mined")), "hits")

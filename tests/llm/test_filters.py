@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from jobloom.llm import decontaminate, quality_qda, queries, toxicity_fm, url_rules
 from jobloom.llm.chat_format import escape, expand, read_back, unescape
 from jobloom.llm.decontaminate import contamination as operator
+from jobloom.llm.minhash_dedup import near_duplicates
 from jobloom.llm.mixing import budgets, mix
 from jobloom.llm.quality_qda import score_quality
+from jobloom.llm.substring_dedup import dedup_substrings
 from jobloom.llm.toxicity_fm import SAMPLE_PER_CLASS, epochs, fit, score_toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -381,5 +383,33 @@ def test_quality_scores_by_brute_force(spark):
         assert got[i] == pytest.approx(1 / (1 + np.exp(-gap)), abs=1e-6)
 
 
+def test_hostile_texts(spark):
+    """Nulls, empty and blank texts, very long ones, repeated rows and clashing columns, for all operators on documents."""
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randrange(10**5)}" for _ in range(250_000))
+    rows = [(1, long), (2, None), (3, ""), (4, " \n "), (5, "x" * 1_300_000), (1, long), (None, "a b c d e"), (6, "a b c d e"), (7, f"{long} tail")]
+    docs = spark.createDataFrame([(i, t, "en", "src1", 5, 6, 7, "c", True) for i, t in rows], "doc_id long, text string, lang string, source string, n_words int, score int, rest int, id string, held_out boolean")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 8)], "doc_id long, quality int, toxic int")
+    for out in (score_quality(docs, labels), score_toxicity(docs, labels)):
+        got = out.collect()
+        assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+        assert len({r.score for r in got if r.doc_id in (2, 3)}) == 1 and len({r.score for r in got if r.doc_id == 1}) == 1
+    items = spark.createDataFrame([(1, " ".join(long.split()[1000:1020])), (2, None), (3, "A, B c")], "item_id long, text string")
+    hits = {(r.doc_id, r.n_hit, tuple(r["items"]), r.contaminated) for r in operator(docs, items).collect()}
+    assert hits == {(1, 20, ("1",), False), (7, 20, ("1",), False), (None, 3, ("3",), True), (6, 3, ("3",), True), *((i, 0, (), False) for i in (2, 3, 4, 5))}
+    near = {(r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in near_duplicates(docs, 4).collect()}
+    assert near == {(1, True, 1, True), (2, False, 2, True), (3, False, 3, True), (4, False, 4, True), (5, True, 5, True), (None, True, None, True), (6, True, 6, True), (7, True, 1, False)}
+    cut = dedup_substrings(docs, 13)
+    assert {c: n for c, n in Counter(cut.columns).items() if n > 1} == {} and {(r.doc_id, r.n_words, r.n_removed, r.rest) for r in cut.collect()} == {(1, 250_000, 0, 7), (2, 0, 0, 7), (3, 0, 0, 7), (4, 0, 0, 7), (5, 1, 0, 7), (None, 5, 0, 7), (6, 5, 0, 7), (7, 250_001, 250_000, 7)}
+
+
+def test_very_long_turns(spark):
+    """A turn of two megabytes with control strings at its ends comes back whole."""
+    text = "</s>" + "word [INST] " * 160_000 + "<s>"
+    rows = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    back = read_back(expand(rows)).first()
+    assert [t.text == text for t in back.turns] == [True, True] and back.loss_texts == [text]
+
+
 def test_sha_helper():
     assert sha("").startswith("e3b0")
