@@ -40,9 +40,11 @@ GRAM_TABLE, TOKEN_TABLE = 1 << 20, 1 << 18
 _END = 0xFF
 _U = np.uint64
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
-_COUNT_PIECE, _SCORE_PIECE = 2 << 20, 1 << 18
+_COUNT_PIECE, _SCORE_PIECE = 1 << 20, 1 << 18
 #: Rows in one batch to the JVM, which holds batches outside its heap.
-_LOST_ROWS = 1 << 15
+_BATCH_ROWS = 1 << 15
+#: Counts that a worker holds before it adds them up and hands them on.
+_HELD_ROWS = 1 << 19
 #: Grams that the trees of a worker hold; one context of three bytes may have more.
 _BLOCK = 1 << 17
 _SMALL = 4096
@@ -221,10 +223,26 @@ class Table:
         return values, there
 
 
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys once each, with their counts added up."""
+    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+
+
 def _count_rows(docs: DataFrame) -> DataFrame:
     """(kind, key, n): tokens (0) of training texts; grams (1) of all texts, n = 0 outside training."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
+        size = {0: 0, 1: 0}
+
+        def out(kind: int) -> Iterator[pa.RecordBatch]:
+            keys, n = _summed(held[kind])
+            held[kind], size[kind] = [], 0
+            for lo in range(0, len(keys), _BATCH_ROWS):
+                part = slice(lo, lo + _BATCH_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), kind, dtype=np.int32)), int64(keys[part]), pa.array(n[part])], ["kind", "key", "n"])
+
         for batch in batches:
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
             data, offsets = text_buffers(batch.column("text"))
@@ -236,7 +254,14 @@ def _count_rows(docs: DataFrame) -> DataFrame:
                 tokens = words.hashes()[np.repeat(train[lo:hi], words.counts)]
                 for kind, values, counted in ((0, tokens, True), (1, key[learn], True), (1, key[~learn], False)):
                     u, n = np.unique(values, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, dtype=np.int32)), int64(u), pa.array(n.astype(np.int64) * counted)], ["kind", "key", "n"])
+                    held[kind].append((u, n * counted))
+                    size[kind] += len(u)
+                    if size[kind] >= _HELD_ROWS:
+                        yield from out(kind)
+        for kind in (0, 1):
+            if held[kind]:
+                yield from out(kind)
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(emit, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
@@ -319,7 +344,7 @@ def _scan(docs: DataFrame, byte_table: Broadcast, token_table: Broadcast) -> Dat
                     # of no values numpy adds whole numbers
                     sums += [np.bincount(owner, x, n).astype(np.float64) for x in (values, there)]
                     every = np.flatnonzero(~there)
-                    for lost in np.split(every, range(_LOST_ROWS, len(every), _LOST_ROWS)):
+                    for lost in np.split(every, range(_BATCH_ROWS, len(every), _BATCH_ROWS)):
                         empty = [pa.nulls(len(lost), t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2)]
                         yield pa.RecordBatch.from_arrays([pa.array(row[lo:hi][owner[lost]]), pa.array(np.full(len(lost), kind, dtype=np.int32)), int64(keys[lost]), *empty], names)
                 base, known, score, _ = sums
