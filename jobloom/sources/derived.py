@@ -51,7 +51,11 @@ def jobs(spark: SparkSession, sf_dir: str, description: bool = True) -> DataFram
 
 
 def described(page: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adds ``description`` to a page of postings, whose length is limited: texts are read but not shuffled."""
+    """Adds ``description`` to a page of postings: texts are read but not shuffled.
+
+    The page, whose length is limited, is fetched first, so that its ranking isn't done for either side.
+    """
+    page = spark.createDataFrame(page.toArrow(), page.schema)
     key = F.col("doc_id").cast("string")
     texts = table(spark, sf_dir, "documents").select(key.alias("_key"), F.col("text").alias("description"))
     texts = texts.join(F.broadcast(page.select(F.col("job_id").alias("_key"))), "_key", "left_semi")
